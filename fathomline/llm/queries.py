@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import packing, quality_rules, sentencepiece_codec, substring_dedup
+from fathomline.llm import dartminhash, packing, quality_rules, secret_scan, sentencepiece_codec, substring_dedup
 from fathomline.llm.common import table
 
 
@@ -19,6 +19,16 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", F.col("span_text").alias("spans"), "n_live")
+
+
+def op5_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dartminhash.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "class_id", "n_texts", "kept")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"))
 
@@ -32,6 +42,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
+    "op3_secret_scan": op3_secret_scan,
+    "op5_dartminhash": op5_dartminhash,
     "op7_sentencepiece": op7_sentencepiece,
     "op10_quality_rules": op10_quality_rules,
 }
