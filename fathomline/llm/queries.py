@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import dartminhash, packing, quality_rules, secret_scan, sentencepiece_codec, substring_dedup
+from fathomline.llm import dartminhash, html_extract, media, packing, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, warc
 from fathomline.llm.common import table
 
 
@@ -24,15 +24,28 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", F.col("span_text").alias("spans"), "n_live")
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dartminhash.classes(table(spark, sf_dir, "documents"))
     return found.select(F.col("doc").alias("doc_id"), "class_id", "n_texts", "kept")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_back(warc.archive(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     q = F.col("quality")
@@ -43,8 +56,11 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
     "op3_secret_scan": op3_secret_scan,
+    "op4_html_extract": op4_html_extract,
     "op5_dartminhash": op5_dartminhash,
+    "op6_warc": op6_warc,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_media": op8_media,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -62,6 +78,16 @@ pos as (select doc_id, words, unnest(range(1, len(words) + 1)) as p from w where
 kept as (select pos.doc_id, string_agg(pos.words[pos.p], ' ' order by pos.p) as text from pos left join gone using (doc_id, p) where gone.p is null group by pos.doc_id)
 select w.doc_id, cast(len(w.words) as bigint) as n_words, cast(coalesce(marked.n, 0) as bigint) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
 from w left join marked using (doc_id) left join kept using (doc_id)
+""",
+    "op6_warc": """
+with p as (select page_id, sha1(coalesce(html, '')) as d, strlen(coalesce(html, '')) as n from pages),
+f as (select page_id, d, n, min(page_id) over (partition by d) as first_id from p)
+select page_id, cast(n as bigint) as payload_bytes,
+  array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform(range(4), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((cast('0x' || substr(d, g * 5 + 1, 5) as bigint) // [32768, 1024, 32, 1][k + 1]) % 32) + 1, 1)), '')), '') as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id = first_id then null else first_id end as refers_to
+from f
 """,
     "op10_quality_rules": f"""
 with w as (select doc_id, coalesce(text, '') as text, {_WORDS} as words from documents),
