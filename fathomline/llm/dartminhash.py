@@ -9,14 +9,18 @@ probability, and the work is linear in the text plus k log k. A text that leaves
 is done again with twice the height.
 
 Texts with the same words are one node. The k = 128 coordinates make 32 bands of 4: a pair of
-similarity 0.8 meets in a band but for 5 in 100 million cases. Then, without emitting all pairs:
-
-* In each bucket one member, the hub, meets those of other components; a pair is confirmed by the
-  exact similarity of the multisets, and confirmed pairs join components.
-* The hub has now met all others in its bucket and leaves it. The rest go on, hubs coming from the
-  bucket's smallest component, until no bucket holds two components. So every pair of a bucket is
-  either compared or within one component: no link is lost, and groups of copies end after a round.
-* A bucket of at most ``SMALL`` members is finished at once.
+similarity 0.8 meets in a band but for 5 in 100 million cases. Buckets are resolved without
+emitting their pairs:
+
+* In each bucket the hub is the member that meets most others over all its buckets, in a group of
+  copies the one nearest to what they have in common. Each text is compared with the hub that it
+  meets most often; a pair is a link if the exact similarity of the multisets reaches the threshold.
+* Buckets whose members are one component by now are done. Texts of the others are joined exactly
+  by prefix filtering: with the shingles in the order of their frequency among these texts, two texts
+  of similarity t share one within the first (1 - t) n + 1 of each, at places that leave room for
+  the overlap. Edits make rare shingles, so texts that are too far from all others have nothing to
+  share and cost nothing. Only texts of different components are compared, so no bucket size is
+  capped and no link between components is lost.
 
 Defined cases: a text of under five words has one shingle, all its words; a text without words (or
 null) is a class of its own; repeated rows and ids are fine, each row being in its text's class;
@@ -37,8 +41,6 @@ from fathomline.llm.common import materialize, text_key
 from fathomline.llm.components import components
 
 SHINGLE, SIMILARITY, K, BANDS = 5, 0.8, 128, 32
-#: Members of a bucket that are compared at once, in at most SMALL * (SMALL - 1) / 2 pairs.
-SMALL = 8
 #: Cells that are looked at together.
 CELLS = 1 << 20
 _POISSON = np.cumsum(np.exp(-1) / np.cumprod(np.concatenate(([1.0], np.arange(1, 25)))))
@@ -171,18 +173,45 @@ def _elements(shingle: int):
     return run
 
 
-def _candidates(live: DataFrame, first: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs to compare (a < b, with how many buckets they meet in), and the buckets' hubs."""
-    size = live.groupBy("bucket", "label").agg(F.count("*").alias("size"), F.min("node").alias("node"))
-    hubs = size.groupBy("bucket").agg(F.min(F.struct("size", "node", "label")).alias("hub"), F.sum("size").alias("members"), F.count("*").alias("labels")).where("labels > 1")
-    # the first round is for hubs alone: it settles most buckets
-    hubs = hubs.select("bucket", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label"), (F.lit(not first) & (F.col("members") <= SMALL)).alias("small"))
-    hubs = materialize(hubs, "hubs")
-    met = live.join(hubs, "bucket").where("label != hub_label and not small").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    if not first:
-        few = live.join(hubs.where("small").select("bucket"), "bucket")
-        met = met.union(few.alias("x").join(few.alias("y"), F.expr("x.bucket = y.bucket and x.node < y.node and x.label != y.label")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-    return met.groupBy("a", "b").agg(F.count("*").alias("met")), hubs
+def _judged(pairs: DataFrame, weighed: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose exact similarity reaches the threshold."""
+    one, two = (weighed.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("elements").alias(f"e{c}")) for c in "ab")
+    both = pairs.join(one, "a").join(two, "b")
+    inter = F.size(F.array_intersect("ea", "eb")).cast("long")
+    return both.where(inter >= similarity * (F.col("na") + F.col("nb") - inter)).select("a", "b")
+
+
+def _hub_pairs(live: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """Each node with the hub that it meets in most buckets; ``live`` has (bucket, node)."""
+    count = live.groupBy("bucket").agg(F.count("*").alias("c"))
+    popular = live.join(count, "bucket").groupBy("node").agg(F.sum("c").alias("p"))
+    hubs = live.join(popular, "node").groupBy("bucket").agg(F.max(F.struct("p", "node")).alias("h")).select("bucket", F.col("h.p").alias("p"), F.col("h.node").alias("hub"))
+    met = live.join(hubs, "bucket").where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("met"), F.max("p").alias("p"))
+    near = met.join(sizes.select("node", "n"), "node").join(sizes.select(F.col("node").alias("hub"), F.col("n").alias("nh")), "hub")
+    near = near.where(F.least("n", "nh") >= similarity * F.greatest("n", "nh"))
+    return near.groupBy("node").agg(F.max(F.struct("met", "p", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
+
+
+def _prefix_pairs(rest: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different labels that may reach the threshold; ``rest`` has (node, label, n, elements)."""
+    each = rest.select("node", F.explode("elements").alias("e"))
+    shared = each.groupBy("e").agg(F.count("*").alias("f")).where("f > 1")
+    # a text with too few shared shingles has no partner; those of one text alone come first in its order
+    own = each.join(shared, "e").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("s"))
+    own = own.join(rest.select("node", "label", "n"), "node").where(F.size("s") >= similarity * F.col("n"))
+    alone = F.col("n") - F.size("s")
+    reach = (F.col("n") - F.ceil(similarity * F.col("n")) + 1 - alone).cast("int")
+    first = own.where(reach >= 1).select("node", "label", "n", alone.alias("alone"), F.posexplode(F.slice("s", 1, reach)).alias("i", "x"))
+    first = materialize(first.select("node", "label", "n", (F.col("alone") + F.col("i")).alias("at"), F.col("x.e").alias("e")), "prefixes")
+    # under each shingle, texts of all labels but the most common one meet all others: the large group never meets itself
+    by_label = first.groupBy("e", "label").agg(F.count("*").alias("c"))
+    major = by_label.groupBy("e").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("e", F.col("m.label").alias("major"))
+    minor = first.join(major, "e").where("label != major").select("e", "node", "label", "n", "at")
+    x, y = minor.alias("x"), first.alias("y")
+    room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    fits = (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")) & (room >= F.ceil(similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6))
+    met = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.label") != F.col("y.label")) & fits)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, k: int = K, bands: int = BANDS) -> DataFrame:
@@ -199,49 +228,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    live = materialize(buckets.join(shared, "bucket").select("bucket", "node", F.col("node").alias("label")), "buckets")
-    wanted = live.select("node").distinct().join(nodes.select("node", "doc", "key"), "node")
+    live = materialize(buckets.join(shared, "bucket").select("bucket", "node"), "buckets")
+    wanted = live.select("node").distinct().join(nodes.select("node", "doc", "key", "n"), "node")
     # repeated rows give the same elements again
     texts = keyed.join(wanted, (keyed["doc"].eqNullSafe(wanted["doc"])) & (keyed["key"] == wanted["key"])).select("node", "text")
-    weighed = materialize(texts.mapInArrow(_elements(shingle), "node long, elements array<long>").dropDuplicates(["node"]), "elements")
-    sizes = nodes.select("node", "n")
-
-    labels, tested, first = None, None, True
-    while not live.isEmpty():
-        pairs, hubs = _candidates(live, first)
-        near = pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
-        near = near.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-        if first:  # each text meets the hub of the most common buckets first; the others, if still apart, in the next round
-            best = near.groupBy("b").agg(F.max_by("a", F.struct("met", "a")).alias("a"))
-            chosen = best.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
-        else:
-            chosen = near
-            if tested is not None:
-                chosen = chosen.join(tested, ["a", "b"], "left_anti")
-        with_b = chosen.select("a", "b", "na", "nb").join(weighed.withColumnsRenamed({"node": "b", "elements": "eb"}), "b")
-        both = with_b.join(weighed.withColumnsRenamed({"node": "a", "elements": "ea"}), "a")
-        inter = F.size(F.array_intersect("ea", "eb")).cast("long")
-        judged = materialize(both.select("a", "b", (inter >= similarity * (F.col("na") + F.col("nb") - inter)).alias("linked")), "judged")
-        tested = judged.select("a", "b") if tested is None else tested.union(judged.select("a", "b"))
-        links = judged.where("linked").select("a", "b")
-        if labels is not None:
-            own = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-            links = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        joined = components(links)
-        if labels is None:
-            labels = joined
-        else:
-            moved = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-            labels = materialize(moved.union(joined.join(labels.select("node"), "node", "left_anti")), "labels")
-        # in the first round hubs have not met all, so they stay
-        rest = live.drop("label") if first else live.join(hubs, "bucket").where("node != hub and not small").select("bucket", "node")
-        rest = rest.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        mixed = rest.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-        live = materialize(rest.join(mixed, "bucket"), "buckets")
-        first = False
+    weighed = texts.mapInArrow(_elements(shingle), "node long, elements array<long>").dropDuplicates(["node"])
+    weighed = materialize(weighed.select("node", F.size("elements").cast("long").alias("n"), "elements"), "elements")
+
+    links = materialize(_judged(_hub_pairs(live, weighed, similarity), weighed, similarity), "links")
+    labels = components(links)
+    marked = live.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    mixed = marked.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
+    rest = marked.join(mixed, "bucket").select("node", "label").distinct().join(weighed, "node")
+    more = _judged(_prefix_pairs(rest, similarity), weighed, similarity)
+    labels = components(links.unionByName(more))
 
     grouped = nodes.select("node", "f1", "f2", F.struct("doc", "key").alias("own"))
-    grouped = grouped.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else grouped.withColumn("label", F.col("node"))
+    grouped = grouped.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = grouped.groupBy("label").agg(F.min("own").alias("head"), F.count("*").alias("n_texts"))
     named = grouped.join(heads, "label").select("f1", "f2", "head", "n_texts")
     with_words = signed.select("doc", "key", "f1", "f2").join(named, ["f1", "f2"]).select("doc", "key", F.col("head.doc").alias("class_id"), F.col("head.key").alias("class_key"), "n_texts")

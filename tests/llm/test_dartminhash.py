@@ -65,9 +65,8 @@ def test_classes_equal_brute_force(spark):
     assert D.classes(docs.limit(0)).count() == 0
 
 
-def test_hub_that_is_no_link_loses_none(spark, monkeypatch):
-    """A chain in one bucket whose first member is far from most: later hubs find the rest."""
-    monkeypatch.setattr(D, "SMALL", 2)
+def test_hub_that_is_no_link_loses_none(spark):
+    """A chain whose hubs are far from most members: the prefix join finds the rest."""
     r = random.Random(4)
     w = [f"x{r.randrange(10**6)}" for _ in range(120)]
     rows = []
@@ -80,6 +79,20 @@ def test_hub_that_is_no_link_loses_none(spark, monkeypatch):
     assert sorted(((g.doc, g.class_id) for g in got.collect()), key=str) == brute(rows)
 
 
+def test_cloud_of_copies(spark):
+    """Copies at all distances from one text, few of them near to each other."""
+    r = random.Random(14)
+    base = [f"x{r.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(r.randint(0, 9)):
+            w[r.randrange(150)] = f"y{r.randrange(4) if r.random() < 0.5 else i}"
+        rows.append((i, " ".join(w)))
+    got = D.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((g.doc, g.class_id) for g in got.collect()), key=str) == brute(rows)
+
+
 def test_agreement_is_the_weighted_similarity():
     r = random.Random(6)
     w = [f"a{i}" for i in range(300)]
