@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import dartminhash, html_extract, media, packing, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, warc
+from fathomline.llm import dartminhash, html_extract, license_scan, media, packing, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, warc
 from fathomline.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     q = F.col("quality")
@@ -61,6 +65,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_media": op8_media,
+    "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 
