@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from fathomline.llm.packing import WordTokenizer, lengths, pack
@@ -17,9 +18,16 @@ def odd_texts(seed, n=200):
 
 
 def test_ids_equal_the_librarys():
-    plain, ours = Tokenizer.from_file(PATH), WordTokenizer(PATH, cache=50)
-    for t in ["", " ", *odd_texts(3, 600)]:
-        assert np.frombuffer(ours.ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    plain, ours = Tokenizer.from_file(PATH), WordTokenizer(PATH)
+    r = random.Random(5)
+    ends = [".", "!!", "...", "###", "%%%", "&&&", "$$$", "|", ">", ")", "'s.", "'.", "\u0301.", "1.", "É.", "ñ,", "ÿ.", "ÿ", "Σ.", "İ!", "<|endoftext|>.", "<|endoftext|>", "µ.", "×.", "÷,", "ª.", "º,", "¿", "³.", "Ã.", "à."]
+    texts = ["", " ", *odd_texts(3, 600)]
+    texts += [" ".join(r.choice(["The", "é", "ÉA", "x", "", "Straße", "ΟΔΟΣ", "don't", "I'M", "a.b", "#a"]) + r.choice(ends) for _ in range(4)) for _ in range(3000)]
+    for part in (texts, texts[:1], texts[7:9], []):
+        ids, starts = ours.ids(pa.array(part, pa.string()))
+        assert len(starts) == len(part) + 1
+        for t, a, b in zip(part, starts, starts[1:], strict=False):
+            assert ids[a:b].tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
 def test_lengths():
