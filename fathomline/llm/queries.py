@@ -71,7 +71,37 @@ QUERIES = {
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+
+
+def _secrets_sql() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    kinds = [(0, secret_scan.ASSIGN, 1), (1, secret_scan.ACCESS, 0), (2, secret_scan.HEX, 0)]
+    found = " union all ".join(
+        f"select doc_id, source, {k} as kind, regexp_split_to_array(text, {quoted(p)}) as gaps, regexp_extract_all(text, {quoted(p)}, 0) as wholes, regexp_extract_all(text, {quoted(p)}, {g}) as vals from d" for k, p, g in kinds
+    )
+    return f"""
+with d as (select doc_id, source, coalesce(text, '') as text from documents),
+f as ({found}),
+e as (select doc_id, source, kind, vals[i] as v, length(wholes[i]) as n,
+        list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(wholes[1:i - 1], lambda x: length(x))), 0) as s
+      from (select *, unnest(range(1, len(wholes) + 1)) as i from f)),
+b as (select doc_id, source, kind, v, cast(s as bigint) as s, cast(s + n as bigint) as e from e where kind <> 0 or length(v) >= {secret_scan.LEAST_VALUE}),
+o as (select v, count(distinct source) as owners from b group by v),
+l as (select distinct doc_id, 3 as kind, cast(e - length(v) as bigint) as s, e from b join o using (v)
+      where owners <= {secret_scan.OWN} and length(v) >= 16 and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]')
+        and len(list_distinct(string_split(v, ''))) >= 8 and not regexp_matches(v, {quoted(secret_scan.SHOWN)})),
+a as (select doc_id, kind, s, e from b union all select * from l),
+t as (select doc_id, kind, s, e, concat(['assign', 'access', 'hex', 'live'][kind + 1], ':', s, ':', e) as x from a),
+g as (select doc_id, count(*) filter (where kind = 0) as a0, count(*) filter (where kind = 1) as a1, count(*) filter (where kind = 2) as a2, count(*) filter (where kind = 3) as a3,
+        coalesce(string_agg(x, ',' order by s, kind) filter (where kind < 3), '') as base, string_agg(x, ',' order by s, kind) as spans from t group by doc_id)
+select d.doc_id, cast(coalesce(a0, 0) as bigint) as n_assign, cast(coalesce(a1, 0) as bigint) as n_access, cast(coalesce(a2, 0) as bigint) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, cast(coalesce(a3, 0) as bigint) as n_live
+from d left join g using (doc_id)
+"""
+
+
 ORACLE_SQL = {
+    "op3_secret_scan": _secrets_sql(),
     "op1_substring_dedup": f"""
 with w as (select doc_id, {_WORDS} as words from documents),
 win as (select doc_id, i, hash(array_to_string(words[i:i + 49], ' ')) as h1, md5(array_to_string(words[i:i + 49], ' ')) as h2
@@ -83,6 +113,19 @@ pos as (select doc_id, words, unnest(range(1, len(words) + 1)) as p from w where
 kept as (select pos.doc_id, string_agg(pos.words[pos.p], ' ' order by pos.p) as text from pos left join gone using (doc_id, p) where gone.p is null group by pos.doc_id)
 select w.doc_id, cast(len(w.words) as bigint) as n_words, cast(coalesce(marked.n, 0) as bigint) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
 from w left join marked using (doc_id) left join kept using (doc_id)
+""",
+    "op5_dartminhash": f"""
+with recursive w as (select doc_id, {_WORDS} as words from documents),
+sh as (select doc_id, array_to_string(words[i:i + 4], ' ') as g from (select doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) as i from w where len(words) > 0)),
+el as (select doc_id, g, row_number() over (partition by doc_id, g) as c from sh),
+n as (select doc_id, count(*) as n from el group by doc_id),
+pair as (select a.doc_id as x, b.doc_id as y, count(*) as k from el a join el b on a.g = b.g and a.c = b.c and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+link as (select x, y from pair join n as p on p.doc_id = x join n as q on q.doc_id = y where k >= 0.8 * (p.n + q.n - k)),
+sides as (select x, y from link union all select y, x from link),
+reach as (select doc_id, doc_id as r from w union select reach.doc_id, sides.y from reach join sides on sides.x = reach.r),
+class as (select doc_id, min(r) as class_id from reach group by doc_id),
+size as (select class_id, count(distinct array_to_string(words, ' ')) as n_texts from class join w using (doc_id) group by class_id)
+select doc_id, class_id, cast(n_texts as bigint) as n_texts, doc_id = class_id as kept from class join size using (class_id)
 """,
     "op6_warc": """
 with p as (select page_id, sha1(coalesce(html, '')) as d, strlen(coalesce(html, '')) as n from pages),
