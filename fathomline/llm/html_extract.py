@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from fathomline.llm.html_tree import BLOCKS, Tree, blocks_of
 
 #: Labelled pages that the model is trained on.
-PAGES = 400
+PAGES = 600
 # Words of class, id and role that tell parts of a page, by part.
 LEXICON = {
     "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs toc tabs pagination pager sitemap skip toolbar",
@@ -47,8 +47,10 @@ LEXICON = {
 _PART = {word: part for part, words in LEXICON.items() for word in words.split()}
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+# Elements that say what all within them is.
+_REGIONS = ("article", "aside", "footer", "form", "header", "main", "nav")
 _TAGS = sorted(BLOCKS) + ["#page", "a", "span", "other"]
-_NAMES = ["bias"] + [f"tag {t}" for t in _TAGS] + [f"{kind} {part}" for kind in ("named", "role") for part in LEXICON] + [f"words {i}" for i in range(8)] + [f"links {i}" for i in range(4)] + ["stops", "ends"]
+_NAMES = ["bias"] + [f"tag {t}" for t in _TAGS] + [f"{kind} {part}" for kind in ("named", "role", "within") for part in LEXICON] + [f"within <{t}>" for t in _REGIONS] + [f"words {i}" for i in range(8)] + [f"links {i}" for i in range(4)] + ["stops", "ends"]
 INDEX = {n: i for i, n in enumerate(_NAMES)}
 
 
@@ -71,11 +73,16 @@ def features(tree: Tree) -> list[list[int]]:
         under[tree.parent[v]] += under[v]
         under_linked[tree.parent[v]] += under_linked[v]
     out = []
+    within: list[frozenset[int]] = []  # what the elements around a node are
     for v in range(n):
         tag, attrs = tree.tag[v], tree.attrs[v]
-        own = [INDEX["bias"], INDEX.get(f"tag {tag}", INDEX["tag other"])]
-        own += [INDEX[f"named {p}"] for p in _parts(attrs.get("class", "") + " " + attrs.get("id", ""))]
-        own += [INDEX[f"role {p}"] for p in _parts(attrs.get("role", ""))]
+        around = within[tree.parent[v]] if v else frozenset()
+        own = [INDEX["bias"], INDEX.get(f"tag {tag}", INDEX["tag other"]), *around]
+        named = _parts(attrs.get("class", "") + " " + attrs.get("id", ""))
+        role = _parts(attrs.get("role", ""))
+        own += [INDEX[f"named {p}"] for p in named] + [INDEX[f"role {p}"] for p in role]
+        here = [INDEX[f"within {p}"] for p in named | role] + ([INDEX[f"within <{tag}>"]] if tag in _REGIONS else [])
+        within.append(around.union(here) if here else around)
         own.append(INDEX[f"words {min(7, under[v].bit_length())}"])
         share = under_linked[v] / under[v] if under[v] else 0
         own.append(INDEX[f"links {0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}"])
@@ -164,14 +171,15 @@ def labelled_page(r: random.Random) -> str:
         plain = {"nav": 1, "header": 1, "footer": 1, "aside": 1, "form": 1}.get(tag)
         return off(tag, "" if plain and r.random() < 0.5 else attr, inner)
 
+    title = lambda: "<h{0}>{1}</h{0}>".format(pick("22334"), s(1, 4))
     menu = lambda: named("nav nav div ul", "menu", pick([f"<ul>{links(r.randint(2, 9))}</ul>", links(r.randint(2, 6)), "".join(f'<a href="#">{s(1, 2)}</a> ' for _ in range(5))]))
     head = lambda: named("header header div", "head", f"<h1>{s(1, 4)}</h1>" * r.randint(0, 1) + f"<p>{s(2, 9)}</p>" + menu() * r.randint(0, 1))
     foot = lambda: named("footer footer div", "foot", pick([f"&copy; {s(1, 9)} &middot; {s(3, 14)}", f"<p>{s(3, 20)}</p>", f"<ul>{links(4)}</ul><p>{s(2, 9)}</p>"]))
-    side = lambda: named("aside aside div section", "side", f"<h3>{s(1, 3)}</h3>" + pick([f"<ul>{links(r.randint(2, 7))}</ul>", f"<p>{s(5, 30)}</p>", f'<div>{s(4, 12)}</div><div><a href="#">{s(2, 6)}</a></div>']))
+    side = lambda: named("aside aside div section", "side", title() + pick([f"<ul>{links(r.randint(2, 7))}</ul>", f"<p>{s(5, 30)}</p>", f'<div>{s(4, 12)}</div><div><a href="#">{s(2, 6)}</a></div>']))
     notice = lambda: named("div div section p", "notice", pick([s(4, 25), f"<p>{s(4, 30)}</p>", f"<p>{s(4, 20)}</p><button>{s(1, 2)}</button>"]) if r.random() < 0.9 else s(3, 9))
-    advert = lambda: named("div div aside section p", "advert", pick([s(3, 14), f"<p>{s(3, 18)}</p>", f'<a href="#">{s(3, 9)}</a>', f"<h4>{s(1, 4)}</h4><p>{s(4, 20)}</p>"]))
-    form = lambda: named("form form div", "form", f"<label>{s(1, 3)}</label><input><p>{s(2, 9)}</p><button>{s(1, 2)}</button>")
-    reader = lambda: named("section div div ol", "reader", f"<h3>{s(1, 3)}</h3>" * r.randint(0, 1) + "".join(off(pick(["div", "div", "li", "li", "article"]), pick(['class="comment"', 'class="reply"', ""]), f"<p>{s(4, 40)}</p>" + f"<p>{s(4, 20)}</p>" * r.randint(0, 1)) for _ in range(r.randint(1, 5))))
+    advert = lambda: named("div div aside section p", "advert", pick([s(3, 14), f"<p>{s(3, 18)}</p>", f'<a href="#">{s(3, 9)}</a>', title() + f"<p>{s(4, 20)}</p>"]))
+    form = lambda: named("form form div", "form", title() * r.randint(0, 1) + f"<label>{s(1, 3)}</label><input><p>{s(2, 9)}</p><button>{s(1, 2)}</button>")
+    reader = lambda: named("section div div ol", "reader", title() * r.randint(0, 1) + "".join(off(pick(["div", "div", "li", "li", "article"]), pick(['class="comment"', 'class="reply"', ""]), f"<p>{s(4, 40)}</p>" + f"<p>{s(4, 20)}</p>" * r.randint(0, 1)) for _ in range(r.randint(1, 5))))
     share = lambda: named("div ul div", "share", pick([links(3), s(1, 4)]))
     kinds = [menu, head, side, notice, advert, form, share]
 
@@ -202,13 +210,13 @@ def labelled_page(r: random.Random) -> str:
 
     shape = r.random()
     inner = content()
-    if shape < 0.45:
+    if shape < 0.36:
         body = f'<article data-main="1">{inner}{reader() * (r.random() < 0.2)}</article>'
-    elif shape < 0.57:
+    elif shape < 0.46:
         body = f'<main data-main="1">{inner}</main>'
-    elif shape < 0.73:
+    elif shape < 0.62:
         body = pick(['<div class="{}" data-main="1">{}</div>', '<div id="{}" data-main="1">{}</div>', '<section class="{}" data-main="1">{}</section>']).format(pick(LEXICON["article"].split()), inner)
-    elif shape < 0.86:
+    elif shape < 0.78:
         body = f'<div data-main="1">{inner}</div>'
     else:
         body = ""
