@@ -139,9 +139,16 @@ def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = THR
         raise ValueError(f"{out} is a column already; name another")
     inside = [f"_{i}" for i in range(len(columns))]
     plain = docs.toDF(*inside)
-    measured = plain.withColumn("__m", _let(measures(F.col(inside[columns.index(text_col)]), window), lambda m: F.struct(*[c.alias(n) for n, c in _counts(m).items()])))
-    m = F.col("__m")
-    base = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
-    failed = compiled(rules, lambda n: m[n])
-    verdict = F.struct(*[m[n].alias(n) for n in COUNTS], base.alias("base_failed"), failed.alias("failed"), (~base & (F.size(failed) == 0)).alias("kept"))
-    return measured.select(*[F.col(a).alias(b) for a, b in zip(inside, columns, strict=True)], verdict.alias(out))
+
+    def verdict(m: Column) -> Column:
+        base = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+        failed = compiled(rules, lambda n: m[n])
+        return F.struct(*[m[n].alias(n) for n in COUNTS], base.alias("base_failed"), failed.alias("failed"), (~base & (F.size(failed) == 0)).alias("kept"))
+
+    def counts(m: Column) -> Column:
+        return F.struct(*[c.alias(n) for n, c in _counts(m).items()])
+
+    # bound at each step: a filter on the verdict is pushed down as one evaluation, not one for each count
+    text = F.col(inside[columns.index(text_col)])
+    judged = _let(_let(measures(text, window), counts), verdict)
+    return plain.select(*[F.col(a).alias(b) for a, b in zip(inside, columns, strict=True)], judged.alias(out))
