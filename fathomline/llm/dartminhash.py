@@ -42,7 +42,7 @@ from fathomline.llm.components import components
 
 SHINGLE, SIMILARITY, K, BANDS = 5, 0.8, 128, 32
 #: Cells that are looked at together.
-CELLS = 1 << 20
+CELLS = 1 << 18
 _POISSON = np.cumsum(np.exp(-1) / np.cumprod(np.concatenate(([1.0], np.arange(1, 25)))))
 
 
