@@ -540,6 +540,14 @@ for _key in ("email", "user", "domain"):
     _query(f"index_build_{_key}", f"with {R} " + _INDEX.replace("sha256(email)", f'sha256("{_key}")'))(lambda spark, sf, k=_key: _index(spark, sf, k))
 
 
+@_query("index_build", f"with {R} select key, count(*) as entries, cast(sum(digest % 1000003) as bigint) as digests from (" + " union all ".join(f"select '{k}' as key, {_digest_sql(chr(34) + k + chr(34))} as digest from rec" for k in ("email", "user", "domain", "password")) + ") group by key")
+def index_build(spark: SparkSession, sf: str) -> DataFrame:
+    """All four keys, each summed up."""
+    each = [_index(spark, sf, k).select(F.lit(k).alias("key"), "digest") for k in ("email", "user", "domain", "password")]
+    whole = each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+    return whole.groupBy("key").agg(F.count("*").alias("entries"), F.sum(F.col("digest") % 1000003).alias("digests"))
+
+
 @_query("index_count", f"with {R} select cast(count(*) as bigint) as entries from rec")
 def index_count(spark: SparkSession, sf: str) -> DataFrame:
     return index.index_count(_index(spark, sf))
@@ -810,6 +818,28 @@ def cli_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return text.read_records(spark, out)
 
 
+@_query("cli_index", f"with {R} select {_digest_sql('domain')} as digest, {_FOUR} from rec")
+def cli_index(spark: SparkSession, sf: str) -> DataFrame:
+    from fathomline import cli
+
+    out = shared_path(spark, "lookup")
+    cli.main(["index", _json_path(spark, sf, "raw"), "--output", out, "--key", "domain", "--partitions", "6"], spark)
+    return index.read_lookup(spark, out)
+
+
+@_query("cli_sort", f"with {R}, i as ({_INDEX}) select row_number() over (order by digest, \"offset\") as place, digest, \"offset\" from i")
+def cli_sort(spark: SparkSession, sf: str) -> DataFrame:
+    """Sorting is part of writing an index; this is the order on disk."""
+    return QUERIES["sort_external"](spark, sf)
+
+
+@_query("cli_version", "select '0.1.0' as version")
+def cli_version(spark: SparkSession, sf: str) -> DataFrame:
+    from fathomline import __version__
+
+    return spark.createDataFrame([(__version__,)], "version string")
+
+
 @_query("cli_search", f"with {R} select email, password from rec where \"user\" = '{_ONE.split('@')[0]}'")
 def cli_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.query_all(_lookup(spark, sf, "user"), "user", _ONE.split("@")[0])

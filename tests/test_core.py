@@ -6,7 +6,7 @@ import urllib.request
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline import cli
+from fathomline import cli, shared
 from fathomline.functions import exprs as E
 from fathomline.operators import dedup, formats, index, results, search
 from fathomline.plans import pipeline
@@ -239,3 +239,10 @@ def test_stream(spark, tmp_path):
         (folder / f"{k}.txt").write_text("\n".join(batch))
         incremental.start(incremental.arriving_lines(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "state"), "colon-newline").awaitTermination()
     assert got(spark.read.parquet(str(tmp_path / "out")).select("email")) == [("a@b.co",), ("b@b.co",), ("c@b.co",)]
+
+
+def test_shared_tables_can_be_cleared(spark):
+    rows = shared.materialize(spark.range(5), "numbers")
+    assert rows.count() == 5 and shared.clear(spark) >= 1
+    with pytest.raises(Exception, match="(?i)exist"):
+        rows.collect()
