@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm import dartminhash, packing, quality_rules, secret_scan, substring_dedup
-from fathomline.llm.common import shared_path, table, text_key
+from fathomline.llm.common import table, text_key
+from fathomline.shared import shared_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
