@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,6 +59,18 @@ def is_hash(c: Column) -> Column:
     return (n >= 8) & ((c.rlike(HEX) & (n >= 32)) | (c.rlike(BASE64) & (n >= 22)))
 
 
+def value_is_blank(value: str) -> bool:
+    """``is_blank`` for a value that was fetched already."""
+    return value in BLANK_VALUES
+
+
+def value_is_hash(value: str) -> bool:
+    """``is_hash`` for a value that was fetched already."""
+    n = len(value.encode())
+    shaped = lambda pattern: re.fullmatch(pattern.removeprefix(r"\A").removesuffix(r"\z"), value)
+    return n >= 8 and bool((n >= 32 and shaped(HEX)) or (n >= 22 and shaped(BASE64)))
+
+
 def _quoted(c: Column) -> Column:
     """A JSON string literal."""
     return F.regexp_extract(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("x"))), r'(?s)\A\{"x":(.*)\}\z', 1)

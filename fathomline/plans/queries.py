@@ -378,11 +378,11 @@ for _name, _format, _delimiter, _strict in (
     _query(_name, f"with {T}, {_records_sql(_delimiter, _strict)} select line_id, {_FOUR} from rec")(lambda spark, sf, f=_format: records(spark, sf, f))
 
 
-@_query("fmt_interface", f"with {T} select line_id, split_part(t, ';', 1) as email from t where regexp_matches(t, '{_ADDRESS};')")
+@_query("fmt_interface", f"with {T} select line_id, lower(split_part(t, ';', 1)) as email from t where regexp_matches(t, '{_ADDRESS};')")
 def fmt_interface(spark: SparkSession, sf: str) -> DataFrame:
     """A format of one's own, given as an object."""
     own = formats.Format("own", formats.ADDRESS + ";", lambda line: F.split(line, ";", -1), strict=False)
-    return formats.normalize(lines(spark, sf), own, keep=("line_id",)).select("line_id", F.col("email")).join(lines(spark, sf), "line_id").select("line_id", F.split(E.utrim(F.col("line")), ";")[0].alias("email"))
+    return formats.normalize(lines(spark, sf), own, keep=("line_id",)).select("line_id", "email")
 
 
 @_query("fmt_registry", "select unnest(['colon', 'colon-newline', 'semicolon', 'semicolon-newline', 'whitespace', 'whitespace-newline']) as name")

@@ -70,6 +70,7 @@ def test_predicates(spark):
     cases = [("", True, False), ("xxx", True, False), ("XXX", False, False), ("a" * 32, False, True), ("a" * 31, False, False), ("A" * 22 + "==", False, True), ("A" * 22, False, False), ("abcdefg", False, False), ("Abcdefghijklmnopqrstuvwx", False, True), ("éééé", False, False), ("a" * 32 + "\n", False, False)]
     rows = spark.createDataFrame(cases, "p string, b boolean, h boolean")
     assert rows.where((E.is_blank(F.col("p")) != F.col("b")) | (E.is_hash(F.col("p")) != F.col("h"))).count() == 0
+    assert all((E.value_is_blank(p), E.value_is_hash(p)) == (b, h) for p, b, h in cases)
     assert [r[0] for r in lines(spark, [" 　a b \t\r"]).select(E.utrim(F.col("line"))).collect()] == ["a b"]
 
 
