@@ -183,9 +183,11 @@ def _judged(pairs: DataFrame, weighed: DataFrame, similarity: float) -> DataFram
 
 def _hub_pairs(live: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
     """Each node with the hub that it meets in most buckets; ``live`` has (bucket, node)."""
-    count = live.groupBy("bucket").agg(F.count("*").alias("c"))
+    # sums are written as tables: a join of two exchanges splits a bucket that many texts share
+    count = materialize(live.groupBy("bucket").agg(F.count("*").alias("c")), "sizes")
     popular = live.join(count, "bucket").groupBy("node").agg(F.sum("c").alias("p"))
     hubs = live.join(popular, "node").groupBy("bucket").agg(F.max(F.struct("p", "node")).alias("h")).select("bucket", F.col("h.p").alias("p"), F.col("h.node").alias("hub"))
+    hubs = materialize(hubs, "hubs")
     met = live.join(hubs, "bucket").where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("met"), F.max("p").alias("p"))
     near = met.join(sizes.select("node", "n"), "node").join(sizes.select(F.col("node").alias("hub"), F.col("n").alias("nh")), "hub")
     near = near.where(F.least("n", "nh") >= similarity * F.greatest("n", "nh"))
@@ -195,7 +197,7 @@ def _hub_pairs(live: DataFrame, sizes: DataFrame, similarity: float) -> DataFram
 def _prefix_pairs(rest: DataFrame, similarity: float) -> DataFrame:
     """Pairs of different labels that may reach the threshold; ``rest`` has (node, label, n, elements)."""
     each = rest.select("node", F.explode("elements").alias("e"))
-    shared = each.groupBy("e").agg(F.count("*").alias("f")).where("f > 1")
+    shared = materialize(each.groupBy("e").agg(F.count("*").alias("f")).where("f > 1"), "shared")
     # a text with too few shared shingles has no partner; those of one text alone come first in its order
     own = each.join(shared, "e").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("s"))
     own = own.join(rest.select("node", "label", "n"), "node").where(F.size("s") >= similarity * F.col("n"))
@@ -206,6 +208,7 @@ def _prefix_pairs(rest: DataFrame, similarity: float) -> DataFrame:
     # under each shingle, texts of all labels but the most common one meet all others: the large group never meets itself
     by_label = first.groupBy("e", "label").agg(F.count("*").alias("c"))
     major = by_label.groupBy("e").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("e", F.col("m.label").alias("major"))
+    major = materialize(major, "majors")
     minor = first.join(major, "e").where("label != major").select("e", "node", "label", "n", "at")
     x, y = minor.alias("x"), first.alias("y")
     room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
@@ -227,7 +230,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     nodes = materialize(nodes, "texts")
 
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    shared = materialize(buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "shared")
     live = materialize(buckets.join(shared, "bucket").select("bucket", "node"), "buckets")
     wanted = live.select("node").distinct().join(nodes.select("node", "doc", "key", "n"), "node")
     # repeated rows give the same elements again
@@ -239,13 +242,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     labels = components(links)
     marked = live.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     mixed = marked.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
+    mixed = materialize(mixed, "mixed")
     rest = marked.join(mixed, "bucket").select("node", "label").distinct().join(weighed, "node")
     more = _judged(_prefix_pairs(rest, similarity), weighed, similarity)
     labels = components(links.unionByName(more))
 
     grouped = nodes.select("node", "f1", "f2", F.struct("doc", "key").alias("own"))
     grouped = grouped.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    heads = grouped.groupBy("label").agg(F.min("own").alias("head"), F.count("*").alias("n_texts"))
+    heads = materialize(grouped.groupBy("label").agg(F.min("own").alias("head"), F.count("*").alias("n_texts")), "heads")
     named = grouped.join(heads, "label").select("f1", "f2", "head", "n_texts")
     with_words = signed.select("doc", "key", "f1", "f2").join(named, ["f1", "f2"]).select("doc", "key", F.col("head.doc").alias("class_id"), F.col("head.key").alias("class_key"), "n_texts")
     without = keyed.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select("doc", "key", F.col("doc").alias("class_id"), F.col("key").alias("class_key"), F.lit(1).cast("long").alias("n_texts"))
