@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows of 50 that start in an earlier document too are cut out of the texts."""
     columns = docs.columns
-    cut = substring_dedup.remove_repeats(docs).withColumn("text", F.col("dedup.kept"))
+    cut = substring_dedup.remove_repeats(docs, out="__dedup").withColumn("text", F.col("__dedup.kept"))
     if "n_chars" in columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*columns)

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from fathomline.llm import words as W
 from fathomline.llm.common import materialize, text_key
@@ -123,12 +124,15 @@ def removal_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     contents = segments.groupBy("anchor", "span").agg(F.min(F.struct("doc", "key", "first", "n")).alias("rep"), F.max("doc").alias("hi"))
     anchors = contents.groupBy("anchor").agg(F.min("rep.doc").alias("least"), F.max("hi").alias("most"), F.count("*").alias("kinds")).where("least < most").select("anchor", "kinds")
+    # tables of their own, here and below: a join of two exchanges splits a key that many rows share
+    anchors = materialize(anchors, "substring-anchors")
     shared = materialize(contents.join(anchors, "anchor").select("anchor", "span", F.col("rep.doc").alias("lo"), "hi", "kinds", "rep"), "substring-shared")
 
     wanted = shared.where("kinds > 1").groupBy(F.col("lo").alias("doc"), F.col("rep.key").alias("key")).agg(F.collect_list(F.struct("anchor", "span", "rep.first", "rep.n", "lo")).alias("wanted"))
     # repeated rows would give the same windows again, which changes no minimum; hits are made distinct
     found = keyed.join(wanted, ["doc", "key"]).select("text", "wanted").mapInArrow(_windows(window), WINDOWS)
     least = found.groupBy("anchor", "h").agg(F.min("lo").alias("m"), F.max("lo").alias("x")).where("m < x").select("anchor", "h", "m")
+    least = materialize(least, "substring-windows")
     hits = found.join(least, ["anchor", "h"]).where("m < lo").groupBy("anchor", "span").agg(F.collect_set("i").alias("hits"))
     resolved = shared.where("kinds = 1 and lo < hi").select("anchor", "span", "lo", F.lit(None).cast("array<int>").alias("hits")).unionByName(
         shared.where("kinds > 1").join(hits, ["anchor", "span"], "left").where("lo < hi or hits is not null").select("anchor", "span", "lo", "hits")
@@ -170,12 +174,14 @@ def cut(text: str, gone: list[tuple[int, int]]) -> str:
     return b"".join(out).decode()
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, inner: int = 16, with_text: bool = True) -> DataFrame:
-    """One row per row of ``docs``: its columns, then ``dedup`` with the outcome.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, inner: int = 16, with_text: bool = True, out: str = "dedup") -> DataFrame:
+    """One row per row of ``docs``: its columns, then a struct ``out`` with the outcome.
 
-    ``dedup``: n_words, n_removed, kept_sha256 (of the kept words, joined by one space), removed
+    It has n_words, n_removed, kept_sha256 (of the kept words, joined by one space), removed
     (maximal intervals of word numbers) and, with ``with_text``, kept (the text without them).
     """
+    if out in docs.columns:
+        raise ValueError(f"{out} is a column already; name another")
     parts = removal_intervals(docs, id_col, text_col, window, inner)
     columns = docs.columns
     inside = [f"_{i}" for i in range(len(columns))]
@@ -186,6 +192,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = "struct<n_words:long,n_removed:long,kept_sha256:string,removed:array<struct<start:long,end:long>>" + (",kept:string" if with_text else "") + ">"
     schema = joined.select(*inside, F.lit(None).cast(kind).alias("__dedup")).schema
     at = inside.index(own_text)
+    out_type = to_arrow_type(schema["__dedup"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,8 +209,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     rows.append(row | ({"kept": None if text is None else cut(text, gone)} if with_text else {}))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(inside)], pa.array(rows, out_type)], [*inside, "__dedup"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    out_type = to_arrow_type(schema["__dedup"].dataType)
-    out = joined.mapInArrow(run, schema)
-    return out.toDF(*columns, "dedup") if "dedup" not in columns else out.toDF(*columns, "__dedup")
+    return joined.mapInArrow(run, schema).toDF(*columns, out)

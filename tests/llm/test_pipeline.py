@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -79,6 +80,19 @@ def test_stages(spark, docs, tmp_path):
     assert not pieces
 
 
+def test_other_columns_pass_through(spark, docs):
+    """Extra columns, some named like what operators make."""
+    extra = ["dedup", "quality", "key", "doc", "row", "spans", "label", "node", "kept", "found"]
+    at = docs.select("*", *[F.when(F.col("doc_id") % 2 == 0, F.lit(n)).alias(n) for n in extra])
+    wanted = at.columns
+    for _, stage in P.STAGES[:-1]:
+        at = stage(spark, at, "")
+        assert at.columns == wanted
+    got = at.select("doc_id", *extra).collect()
+    assert len(got) > 30 and all(list(g)[1:] == (extra if g.doc_id % 2 == 0 else [None] * len(extra)) for g in got)
+    assert P.STAGES[-1][1](spark, at, "").count() >= len(got)
+
+
 def test_run_and_empty(spark, docs, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
