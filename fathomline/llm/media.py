@@ -140,7 +140,8 @@ def facts(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["digest", *FACTS])
 
     read = media.select("digest", "media").mapInArrow(run, _FACTS)
-    return read.groupBy("digest").agg(*[F.min(c).alias(c) for c in FACTS])
+    # a table of its own: the join with references then splits a medium that many rows refer to
+    return materialize(read.groupBy("digest").agg(*[F.min(c).alias(c) for c in FACTS]), "media-facts")
 
 
 class Sequence(HTMLParser):

@@ -73,6 +73,8 @@ def spans_of(found: DataFrame, own: int = OWN) -> DataFrame:
     placed = each.withColumn("end", F.sum(F.col("m.g") + F.col("m.l")).over(running)).where((F.col("kind") != 0) | (F.col("m.n") >= LEAST_VALUE))
     placed = placed.select("row", "kind", (F.col("end") - F.col("m.l")).alias("start"), "end", F.col("m.n").alias("n"), F.col("m.h").alias("h"), F.col("m.live").alias("live"), "owner", "repo")
     owners = placed.select("h", "owner", "repo").distinct().groupBy("h", "owner").agg(F.count("*").alias("repos")).groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    # a table of its own, so that the join reads two exchanges and a value in many rows is split among tasks
+    owners = materialize(owners, "secret-owners")
     judged = placed.drop("owner", "repo").join(owners, "h")
     base = F.struct(F.col("start"), F.col("kind"), F.col("end"), F.col("owners"), F.col("repos"))
     live = F.struct((F.col("end") - F.col("n")).alias("start"), F.lit(3).alias("kind"), F.col("end"), F.col("owners"), F.col("repos"))

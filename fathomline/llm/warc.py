@@ -177,6 +177,7 @@ def bundles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("d"))
     # only payloads that repeat take part in the join
     again = rows.where(F.octet_length("html") >= least).groupBy("d").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null").select("d", "first")
+    again = materialize(again, "warc-repeats")  # a join of two exchanges splits a payload that many rows share
     refers = F.when(F.col("page_id") != F.col("first"), F.col("first"))
     return rows.join(again, "d", "left").select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(_write(date, level), BUNDLES)
 
