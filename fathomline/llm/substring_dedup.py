@@ -123,6 +123,7 @@ def removal_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     segments = keyed.select("doc", "key", "text").mapInArrow(_segments(window, inner), SEGMENTS)
 
     contents = segments.groupBy("anchor", "span").agg(F.min(F.struct("doc", "key", "first", "n")).alias("rep"), F.max("doc").alias("hi"))
+    contents = materialize(contents, "substring-contents")
     anchors = contents.groupBy("anchor").agg(F.min("rep.doc").alias("least"), F.max("hi").alias("most"), F.count("*").alias("kinds")).where("least < most").select("anchor", "kinds")
     # tables of their own, here and below: a join of two exchanges splits a key that many rows share
     anchors = materialize(anchors, "substring-anchors")
@@ -131,6 +132,7 @@ def removal_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     wanted = shared.where("kinds > 1").groupBy(F.col("lo").alias("doc"), F.col("rep.key").alias("key")).agg(F.collect_list(F.struct("anchor", "span", "rep.first", "rep.n", "lo")).alias("wanted"))
     # repeated rows would give the same windows again, which changes no minimum; hits are made distinct
     found = keyed.join(wanted, ["doc", "key"]).select("text", "wanted").mapInArrow(_windows(window), WINDOWS)
+    found = materialize(found, "substring-found")
     least = found.groupBy("anchor", "h").agg(F.min("lo").alias("m"), F.max("lo").alias("x")).where("m < x").select("anchor", "h", "m")
     least = materialize(least, "substring-windows")
     hits = found.join(least, ["anchor", "h"]).where("m < lo").groupBy("anchor", "span").agg(F.collect_set("i").alias("hits"))
