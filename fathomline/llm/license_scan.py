@@ -2,7 +2,7 @@
 
 Blocks that may state a license are compressed once alone and once with each template as raw
 Zstandard dictionary: the better the template tells the block beforehand, the fewer bytes remain.
-Templates are ranked by the share of bytes saved, and the best are confirmed word by word: the
+Templates are ranked by the share of bytes saved and looked at word by word until one is confirmed: the
 exact differences in wording must leave out no word that names the license and add none that names
 another. So "CC BY 4.0" never passes for "CC BY-NC 4.0", however alike they compress.
 
@@ -60,8 +60,8 @@ TEMPLATES = (
 )
 _MAY = r"(?i)licen[sc]e|all rights reserved|creative commons|public domain|permission (is hereby granted|to use)|redistribut|\bcc[ -]?(by|0)\b"
 MAY = re.compile(_MAY)
-#: A template must save this share of a block's bytes to be looked at word by word, and so many of the best are.
-LEAST_SAVED, LOOKED_AT = 0.2, 6
+#: A template must save this share of a block's bytes to be looked at word by word.
+LEAST_SAVED = 0.2
 #: Blocks whose outcome a worker remembers.
 REMEMBERED = 50_000
 _WORD = re.compile(r"[^\s\"'(),;:]+")
@@ -123,7 +123,7 @@ class Scanner:
         if len(self.seen) >= REMEMBERED:
             self.seen.clear()
         found, words = None, _words(text)
-        for saved, number in self.ranked(text)[:LOOKED_AT]:
+        for saved, number in self.ranked(text):
             if saved < LEAST_SAVED:
                 break
             differences = self._differences(words, -number)

@@ -25,6 +25,15 @@ def test_changed_wording():
     assert [f.license_id for f in s.text(broken)[1]] == ["Apache-2.0"]
 
 
+def test_templates_far_down_the_ranking():
+    s = Scanner()
+    for name, _, text in TEMPLATES:
+        if text.startswith("Licensed under") and len(text) < 60:
+            for opening in ("This program is", "This work is", "This file is", "This package is distributed and"):
+                found = s.block(f"{opening} l{text[1:]}")
+                assert found and found.license_id == name, (opening, text, found)
+
+
 def test_lines_within_prose():
     s, r = Scanner(), random.Random(3)
     for name, _, text in TEMPLATES:
