@@ -1,10 +1,11 @@
 """License scans by conditional compression.
 
-Blocks that may state a license are compressed once alone and once with each template as raw
-Zstandard dictionary: the better the template tells the block beforehand, the fewer bytes remain.
-Templates are ranked by the share of bytes saved and looked at word by word until one is confirmed: the
-exact differences in wording must leave out no word that names the license and add none that names
-another. So "CC BY 4.0" never passes for "CC BY-NC 4.0", however alike they compress.
+Sentences that may state a license are compared word by word with each template: the exact
+differences in wording must leave out no word that names the license and add none that names
+another. So "CC BY 4.0" never passes for "CC BY-NC 4.0", however alike they compress. The stretch
+of words that a template tells is compressed once alone and once with the template as raw
+Zstandard dictionary: the better the template tells it beforehand, the fewer bytes remain. The
+template that saves most bytes names the license; words around the stretch change nothing.
 
 One narrow pass; a worker remembers the outcome of blocks that it has seen, in a bounded table.
 
@@ -17,8 +18,9 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -60,16 +62,25 @@ TEMPLATES = (
 )
 _MAY = r"(?i)licen[sc]e|all rights reserved|creative commons|public domain|permission (is hereby granted|to use)|redistribut|\bcc[ -]?(by|0)\b"
 MAY = re.compile(_MAY)
-#: A template must save this share of a block's bytes to be looked at word by word.
-LEAST_SAVED = 0.2
-#: Blocks whose outcome a worker remembers.
+#: A template must save this share of the bytes of its stretch, and share this part of its words with it.
+LEAST_SAVED, LEAST_SHARED = 0.2, 0.6
+#: A notice in a longer sentence than two of these holds no more words.
+REACH = 500
+#: Sentences whose outcome a worker remembers.
 REMEMBERED = 50_000
 _WORD = re.compile(r"[^\s\"'(),;:]+")
 _VARIABLE = re.compile(r"\d+(\.\d+)*$")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
+
+
+def _spans(text: str) -> list[tuple[str, int, int]]:
+    """The words with their places."""
+    found = ((m.group().rstrip(".").lower(), m.start(), m.end()) for m in _WORD.finditer(text))
+    return [x for x in found if x[0]]
 
 
 def _words(text: str) -> list[str]:
-    return [w for w in (x.rstrip(".").lower() for x in _WORD.findall(text)) if w]
+    return [w for w, _, _ in _spans(text)]
 
 
 @dataclass(frozen=True)
@@ -77,6 +88,18 @@ class Found:
     license_id: str
     saved: float
     differences: str
+    first: int = 0
+    last: int = 0  #: words [first, last) of the block
+
+
+@dataclass(frozen=True)
+class Template:
+    name: str
+    naming: frozenset[str]
+    words: list[str]
+    counts: Counter
+    sentences: int
+    told: zstandard.ZstdCompressor
 
 
 class Scanner:
@@ -86,53 +109,115 @@ class Scanner:
         self.templates = []
         for name, naming, text in templates:
             own = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.templates.append((name, naming.split(), _words(text), zstandard.ZstdCompressor(dict_data=own, **plain)))
-        self.naming = {w for _, naming, _, _ in self.templates for w in naming} - {"all", "permission", "granted", "charge", "fee", "sell", "by"}
-        self.seen: dict[str, Found | None] = {}
+            words = _words(text)
+            self.templates.append(Template(name, frozenset(naming.split()), words, Counter(words), len(_SENTENCE.split(text)), zstandard.ZstdCompressor(dict_data=own, **plain)))
+        self.naming = {w for t in self.templates for w in t.naming} - {"all", "rights", "reserved", "permission", "granted", "charge", "fee", "sell", "by"}
+        self.seen: dict[tuple[str, int], list[Found]] = {}
 
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """(share of bytes saved, -number) of the templates, best first."""
-        data = block.encode()
+    def _saved(self, stretch: str, template: Template) -> tuple[int, float]:
+        """Bytes of the stretch that the template saves, and their share."""
+        data = stretch.encode()
         alone = len(self.alone.compress(data))
-        return sorted((((alone - len(c.compress(data))) / alone, -i) for i, (*_, c) in enumerate(self.templates)), reverse=True)
-
-    def _differences(self, block: list[str], number: int) -> str | None:
-        """How the block's wording differs from the template's, or None if another license may be meant."""
-        _, naming, words, _ = self.templates[number]
-        match = difflib.SequenceMatcher(None, words, block, autojunk=False)
-        runs = [m for m in match.get_matching_blocks() if m.size]
-        if not runs or sum(m.size for m in runs) < 0.6 * len(words):
-            return None
-        first, last = runs[0].b, runs[-1].b + runs[-1].size
+        saved = alone - len(template.told.compress(data))
+        return saved, saved / alone
+
+    def _around(self, text: str, spans: list, lo: int, hi: int, first: int, last: int) -> list[str]:
+        """Two words of [lo, hi) on either side; those beyond the end of a line don't count where a capital begins the next."""
+        ends = lambda k: "\n" in text[spans[k - 1][2] : spans[k][1]] and text[spans[k][1]].isupper() and spans[k][0] not in ("or", "and")
         out = []
-        for op, a, b, c, d in match.get_opcodes():
-            gone, new = words[a:b], block[max(c, first) : min(d, last)] if op in ("insert", "replace") else []
-            if op == "equal" or not (gone or new):
-                continue
-            if set(gone) & set(naming) or any(w in self.naming or _VARIABLE.match(w) for w in new):
+        for k in range(first, max(first - 2, lo), -1):
+            if ends(k):
+                break
+            out.append(spans[k - 1][0])
+        for k in range(last, min(last + 2, hi)):
+            if ends(k):
+                break
+            out.append(spans[k][0])
+        return out
+
+    def _wording(self, text: str, spans: list, lo: int, hi: int, template: Template, runs: list[tuple[int, int, int]]) -> Found | None:
+        """What the runs in common state, or None if another license may be meant."""
+        first, last = runs[0][1], runs[-1][1] + runs[-1][2]
+        out, a, b = [], 0, first
+        for at, own, n in [*runs, (len(template.words), last, 0)]:
+            gone, new = template.words[a:at], [w for w, _, _ in spans[b:own]]
+            if template.naming.intersection(gone) or any(w in self.naming or _VARIABLE.match(w) for w in new):
                 return None
-            out.append(f"-{' '.join(gone)}+{' '.join(new)}")
-        around = block[max(0, first - 2) : first] + block[last : last + 2]
-        if any(w in self.naming and w not in naming for w in around):  # the name goes on beyond the template
+            if gone or new:
+                out.append(f"-{' '.join(gone)}+{' '.join(new)}")
+            a, b = at + n, own + n
+        if any(w in self.naming and w not in template.naming for w in self._around(text, spans, lo, hi, first, last)):  # the name goes on beyond the template
+            return None
+        return Found(template.name, 0.0, ";".join(out), first, last)
+
+    def _confirmed(self, text: str, spans: list, lo: int, hi: int, part: tuple[int, int], template: Template) -> Found | None:
+        """The stretch in the part of words [lo, hi) that states the template's license; stray words in common before and after it are left out."""
+        words = [w for w, _, _ in spans[slice(*part)]]
+        if not template.naming.issubset(words) or (template.counts & Counter(words)).total() < LEAST_SHARED * len(template.words):
             return None
-        return ";".join(out)
+        match = difflib.SequenceMatcher(None, template.words, words, autojunk=False)
+        runs = [(m.a, m.b + part[0], m.size) for m in match.get_matching_blocks() if m.size]
+        parts = sorted((-sum(r[2] for r in runs[i:j]), i, j) for i in range(len(runs)) for j in range(i + 1, len(runs) + 1))
+        for shared, i, j in parts:
+            if -shared < LEAST_SHARED * len(template.words):
+                break
+            found = self._wording(text, spans, lo, hi, template, runs[i:j])
+            if found:
+                return found
+        return None
+
+    def _best(self, text: str, spans: list, lo: int, hi: int, sentences: int) -> Found | None:
+        """The statement in words [lo, hi), or else in a line of them, whose template saves most bytes; of templates of so many sentences, or any for 0."""
+        cuts = [lo, *(k for k in range(lo + 1, hi) if "\n" in text[spans[k - 1][2] : spans[k][1]]), hi]
+        lines = [*zip(cuts, cuts[1:], strict=False)] if len(cuts) > 2 else []
+        best, most = None, -1
+        for template in self.templates:
+            if sentences and template.sentences != sentences:
+                continue
+            found = next((f for part in [(lo, hi), *lines] if (f := self._confirmed(text, spans, lo, hi, part, template))), None)
+            if found:
+                saved, share = self._saved(" ".join(text[spans[found.first][1] : spans[found.last - 1][2]].split()), template)
+                if share >= LEAST_SAVED and saved > most:
+                    best, most = replace(found, saved=share), saved
+        return best
 
     def block(self, text: str) -> Found | None:
-        if text in self.seen:
-            return self.seen[text]
+        """The statement in a text, whatever its sentences, whose template saves most bytes."""
+        spans = _spans(text)
+        return self._best(text, spans, 0, len(spans), 0) if spans else None
+
+    def all_in(self, text: str, sentences: int = 1) -> list[Found]:
+        """All statements in so many sentences, in order: what is beside a find is looked at again."""
+        if (text, sentences) in self.seen:
+            return self.seen[text, sentences]
         if len(self.seen) >= REMEMBERED:
             self.seen.clear()
-        found, words = None, _words(text)
-        for saved, number in self.ranked(text):
-            if saved < LEAST_SAVED:
-                break
-            differences = self._differences(words, -number)
-            if differences is not None:
-                found = Found(self.templates[-number][0], saved, differences)
-                break
-        self.seen[text] = found
+        spans, found = _spans(text), []
+        todo = [(0, len(spans))]
+        while todo:
+            lo, hi = todo.pop()
+            if lo < hi and MAY.search(text, spans[lo][1], spans[hi - 1][2]) and (own := self._best(text, spans, lo, hi, sentences)):
+                found.append(own)
+                todo += [(lo, own.first), (own.last, hi)]
+        self.seen[text, sentences] = found = sorted(found, key=lambda f: f.first)
         return found
 
+    def sentence(self, text: str) -> list[Found]:
+        """All statements in a sentence, however long."""
+        spans = _spans(text)
+        out, at = [], 0
+        while at < len(spans):
+            piece = spans[at : at + 2 * REACH]
+            to_end = at + len(piece) == len(spans)
+            begin, end = piece[0][1], piece[-1][2]
+            reached = len(spans) if to_end else at + REACH
+            for f in self.all_in(text[begin:end]) if MAY.search(text, begin, end) else []:
+                if to_end or f.first < REACH:  # later ones are met again, with all that follows them
+                    out.append(f)
+                    reached = max(reached, at + f.last)
+            at = reached
+        return out
+
     def text(self, text: str) -> tuple[int, list[Found]]:
         """The number of blocks, and what they state, in order. A block is a line, or sentences of it, or a paragraph."""
         found: list[Found] = []
@@ -150,12 +235,10 @@ class Scanner:
             for line in lines:
                 if not MAY.search(line):
                     continue
-                pieces = [line] if len(line) <= 600 else [s for s in re.split(r"(?<=[.!?])\s+(?=[A-Z])", line) if MAY.search(s)]
-                for piece in pieces:
-                    n += 1
-                    own = self.block(piece.strip())
-                    if own:
-                        found.append(own)
+                for piece in _SENTENCE.split(line.strip()):
+                    if MAY.search(piece):
+                        n += 1
+                        found += self.sentence(piece)
         return n, found
 
 

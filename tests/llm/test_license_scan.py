@@ -34,6 +34,20 @@ def test_templates_far_down_the_ranking():
                 assert found and found.license_id == name, (opening, text, found)
 
 
+def test_other_text_on_the_line():
+    s = Scanner()
+    for name, _, text in TEMPLATES:
+        for n in (1, 3, 7, 60):
+            for line in (f"{PROSE} " * n + text, f"{text} " + f"{PROSE} " * n, f"{PROSE} " * n + f"{text} {PROSE}", f"{PROSE[:-1]}, " * 10 * n + text):
+                found = s.text(line)[1]
+                assert [f.license_id for f in found] == [name], (n, line, found)
+    line = "This text may be copied by anyone who keeps this line. Released under the MIT License. Questions go to the editors."
+    assert [f.license_id for f in s.text(line)[1]] == ["MIT"]
+    line = "Photos are licensed under CC BY 4.0, code is released under the MIT License, all rights reserved otherwise."
+    assert [f.license_id for f in s.text(line)[1]] == ["CC-BY-4.0", "MIT", "proprietary"]
+    assert s.text("Released under the NIT License. MIT is a school.")[1] == []
+
+
 def test_lines_within_prose():
     s, r = Scanner(), random.Random(3)
     for name, _, text in TEMPLATES:
