@@ -10,8 +10,8 @@ template that saves most bytes names the license; words around the stretch chang
 One narrow pass; a worker remembers the outcome of blocks that it has seen, in a bounded table.
 
 Defined cases: a null or empty text states no license; a text may state several, in order of place;
-equal savings go to the template first in the table; repeated rows give equal results; lines are
-looked at whole, however long; other columns are ignored.
+equal savings go to the template first in the table; repeated rows give equal results; a notice is
+within a paragraph, which is looked at whole, however long; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,7 +60,8 @@ TEMPLATES = (
     ("Unlicense", "unencumbered public domain", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "all rights reserved", "All rights reserved."),
 )
-_MAY = r"(?i)licen[sc]e|all rights reserved|creative commons|public domain|permission (is hereby granted|to use)|redistribut|\bcc[ -]?(by|0)\b"
+# Words of a mark may stand on two lines, with signs of a comment between them.
+_MAY = r"(?i)licen[sc]e|all\W+rights\W+reserved|creative\W+commons|public\W+domain|permission\W+(is\W+hereby\W+granted|to\W+use)|redistribut|\bcc\W*(by|0)\b"
 MAY = re.compile(_MAY)
 #: A template must save this share of the bytes of its stretch, and share this part of its words with it.
 LEAST_SAVED, LEAST_SHARED = 0.2, 0.6
@@ -186,8 +187,8 @@ class Scanner:
         spans = _spans(text)
         return self._best(text, spans, 0, len(spans), 0) if spans else None
 
-    def all_in(self, text: str, sentences: int = 1) -> list[Found]:
-        """All statements in so many sentences, in order: what is beside a find is looked at again."""
+    def all_in(self, text: str, sentences: int = 0) -> list[Found]:
+        """All statements in a sentence, or across so many, in order: what is beside a find is looked at again."""
         if (text, sentences) in self.seen:
             return self.seen[text, sentences]
         if len(self.seen) >= REMEMBERED:
@@ -218,27 +219,43 @@ class Scanner:
             at = reached
         return out
 
+    def _across(self, parts: list[str], n: int) -> Found | None:
+        """What a template of so many sentences states in all of these, by words of the joined parts."""
+        inner = [len(_spans(x)) for x in parts]
+        if not all(inner):
+            return None
+        # of a long sentence at an end only the near words; _best looks at no others
+        skip = max(inner[0] - REACH, 0)
+        joined = " ".join(parts)
+        spans = _spans(joined)[skip : sum(inner[:-1]) + REACH]
+        whole = next((f for f in self.all_in(joined[spans[0][1] : spans[-1][2]], n) if f.first + skip < inner[0] and f.last + skip > sum(inner[:-1])), None)
+        return whole and replace(whole, first=whole.first + skip, last=whole.last + skip)
+
     def text(self, text: str) -> tuple[int, list[Found]]:
-        """The number of blocks, and what they state, in order. A block is a line, or sentences of it, or a paragraph."""
+        """The number of sentences that may state a license, and what they state, in order. A sentence is within a paragraph, on however many lines."""
         found: list[Found] = []
         n = 0
+        several = sorted({t.sentences for t in self.templates} - {1}, reverse=True)
         for paragraph in re.split(r"\n[ \t\r]*\n", text):
             if not MAY.search(paragraph):
                 continue
-            lines = paragraph.split("\n")
-            if 1 < len(lines) and len(paragraph) <= 4000:  # a notice may be broken over lines
-                n += 1
-                whole = self.block(" ".join(paragraph.split()))
-                if whole:
-                    found.append(whole)
+            rest = _SENTENCE.split(paragraph.strip())[::-1]
+            while rest:
+                sentence = rest.pop()
+                if not MAY.search(sentence):
                     continue
-            for line in lines:
-                if not MAY.search(line):
-                    continue
-                for piece in _SENTENCE.split(line.strip()):
-                    if MAY.search(piece):
-                        n += 1
-                        found += self.sentence(piece)
+                n += 1
+                for k in several:
+                    parts = [sentence, *rest[: -k : -1]]
+                    if len(parts) == k and (whole := self._across(parts, k)):
+                        spans = _spans(" ".join(parts))
+                        found += self.sentence(sentence[: spans[whole.first][1]])
+                        found.append(whole)
+                        del rest[1 - k :]
+                        rest.append(" ".join(parts)[spans[whole.last - 1][2] :])
+                        break
+                else:
+                    found += self.sentence(sentence)
         return n, found
 
 

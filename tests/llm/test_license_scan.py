@@ -48,6 +48,25 @@ def test_other_text_on_the_line():
     assert s.text("Released under the NIT License. MIT is a school.")[1] == []
 
 
+def test_wrapped_lines():
+    s = Scanner()
+    for name, _, text in TEMPLATES:
+        for before, after in ((0, 0), (3, 3), (60, 60), (2000, 50)):
+            for width in (1, 2, 3, 5, 9):
+                words = f"{PROSE} ".split() * before + text.split() + f"{PROSE} ".split() * after
+                for mark in ("", "# "):
+                    lines = "\n".join(mark + " ".join(words[i : i + width]) for i in range(0, len(words), width))
+                    if mark and before:
+                        continue
+                    found = s.text(lines)[1]
+                    assert [f.license_id for f in found] == [name], (text, before, width, mark, found)
+                    assert mark or found[0].differences == ""
+    assert [f.license_id for f in s.text("Licensed under the Apache License, Version 2.0.\nSome data tables come from elsewhere.\nReleased under the MIT License.")[1]] == ["Apache-2.0", "MIT"]
+    assert [f.license_id for f in s.text("Photos: licensed under CC BY 4.0\nGNU Emacs drew them\nLicensed under CC BY-SA 4.0\nAll rights\nreserved")[1]] == ["CC-BY-4.0", "CC-BY-SA-4.0", "proprietary"]
+    assert [f.license_id for f in s.text(f"{TEMPLATES[1][2]}\n{TEMPLATES[2][2]} {TEMPLATES[1][2]} {PROSE}\n{TEMPLATES[28][2]}")[1]] == ["Apache-2.0", "MIT", "Apache-2.0", "proprietary"]
+    assert s.text("This work is licensed under the GNU General Public License, version 3\nor later.")[1] == []
+
+
 def test_lines_within_prose():
     s, r = Scanner(), random.Random(3)
     for name, _, text in TEMPLATES:
