@@ -5,7 +5,8 @@ differences in wording must leave out no word that names the license and add non
 another. So "CC BY 4.0" never passes for "CC BY-NC 4.0", however alike they compress. The stretch
 of words that a template tells is compressed once alone and once with the template as raw
 Zstandard dictionary: the better the template tells it beforehand, the fewer bytes remain. The
-template that saves most bytes names the license; words around the stretch change nothing.
+template that saves most bytes names the license; words around the stretch change nothing,
+nor does the case of letters.
 
 One narrow pass; a worker remembers the outcome of blocks that it has seen, in a bounded table.
 
@@ -109,7 +110,7 @@ class Scanner:
         self.alone = zstandard.ZstdCompressor(**plain)
         self.templates = []
         for name, naming, text in templates:
-            own = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            own = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             words = _words(text)
             self.templates.append(Template(name, frozenset(naming.split()), words, Counter(words), len(_SENTENCE.split(text)), zstandard.ZstdCompressor(dict_data=own, **plain)))
         self.naming = {w for t in self.templates for w in t.naming} - {"all", "rights", "reserved", "permission", "granted", "charge", "fee", "sell", "by"}
@@ -117,7 +118,7 @@ class Scanner:
 
     def _saved(self, stretch: str, template: Template) -> tuple[int, float]:
         """Bytes of the stretch that the template saves, and their share."""
-        data = stretch.encode()
+        data = stretch.lower().encode()
         alone = len(self.alone.compress(data))
         saved = alone - len(template.told.compress(data))
         return saved, saved / alone

@@ -67,6 +67,14 @@ def test_wrapped_lines():
     assert s.text("This work is licensed under the GNU General Public License, version 3\nor later.")[1] == []
 
 
+def test_case_of_letters():
+    s = Scanner()
+    for name, _, text in TEMPLATES:
+        for cased in (text.upper(), text.lower(), text.title(), text.swapcase()):
+            assert (found := s.block(cased)) and (found.license_id, found.saved, found.differences) == (name, s.block(text).saved, ""), (cased, found)
+            assert [f.license_id for f in s.text(f"{PROSE}\n{cased}\n{PROSE.upper()}")[1]] == [name], cased
+
+
 def test_lines_within_prose():
     s, r = Scanner(), random.Random(3)
     for name, _, text in TEMPLATES:
