@@ -50,7 +50,9 @@ def whole_texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, word hash) of all words, a text never in two parts."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for rows, at, hashes in W.blocks(column):
-        if held and not (len(at) and at[0] > 0):
+        if not len(rows):  # white space only: it may lie within a text
+            continue
+        if held and at[0] == 0:
             yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
             held = []
         held.append((rows, hashes))

@@ -107,6 +107,15 @@ def test_agreement_is_the_weighted_similarity():
     assert abs(np.mean(s[0] == s[1]) - similarity(shingles(" ".join(x)), shingles(" ".join(y)))) < 0.03
 
 
+def test_white_space_that_fills_a_piece():
+    blank = " " * (3 * D.W.BLOCK)
+    texts = ["a b", f"{blank}c d e{blank}f g{blank}", blank, None, "h", f"i{blank}j"]
+    parts = [np.unique(rows).tolist() for rows, _ in D.whole_texts(pa.array(texts))]
+    assert sorted(sum(parts, [])) == [0, 1, 4, 5]
+    counts = Counter(r for rows, _ in D.whole_texts(pa.array(texts)) for r in rows.tolist())
+    assert counts == {0: 2, 1: 5, 4: 1, 5: 2}
+
+
 def test_components(spark):
     r = random.Random(3)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)]
