@@ -115,7 +115,9 @@ class Forest:
         self.node = np.repeat(np.arange(len(counts)), counts)
         self.n = len(counts)
         depth = np.array(depth)
-        self.levels = [np.flatnonzero(depth == d) for d in range(1, depth.max(initial=0) + 1)]
+        by_depth = np.argsort(depth, kind="stable")
+        self.levels = np.split(by_depth, np.cumsum(np.bincount(depth)))[1:-1] if self.n else []
+        self.above = [np.unique(self.parent[x], return_inverse=True) for x in self.levels]  # parents, and each node's place among them
         self.children = np.flatnonzero(self.parent >= 0)
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
@@ -128,10 +130,10 @@ class Forest:
         own = self.scores(weights)
         up = own.copy()  # own potential and all messages from below
         message = np.zeros((self.n, 2))  # from a child to its parent
-        for level in reversed(self.levels):
+        for level, (above, place) in zip(reversed(self.levels), reversed(self.above), strict=True):
             message[level] = np.logaddexp(edge[None, :, 0] + up[level, 0][:, None], edge[None, :, 1] + up[level, 1][:, None])
             for y in (0, 1):
-                up[:, y] += np.bincount(self.parent[level], message[level, y], minlength=self.n)
+                up[above, y] += np.bincount(place, message[level, y])
         belief = up.copy()
         joint = np.zeros((self.n, 2, 2))
         for level in self.levels:

@@ -20,8 +20,6 @@ IMPLIED = (
     (frozenset(["tbody", "thead", "tfoot"]), frozenset(["tbody", "thead", "tfoot"]), frozenset(["table"])),
 )
 SCOPE = frozenset(["table", "td", "th", "caption", "html", "button", "object"])
-#: Elements nested deeper than this are read as if they stood at this depth.
-DEEPEST = 400
 
 
 class Tree(HTMLParser):
@@ -73,7 +71,7 @@ class Tree(HTMLParser):
             return
         node = self.open[-1][1]
         found = {k: (v or "") for k, v in attrs}
-        if (tag in BLOCKS or "class" in found or "id" in found or "role" in found) and tag not in SKIPPED and len(self.open) < DEEPEST:
+        if (tag in BLOCKS or "class" in found or "id" in found or "role" in found) and tag not in SKIPPED:
             self.parent.append(node)
             self.tag.append(tag)
             self.attrs.append(found)

@@ -60,6 +60,15 @@ def test_broken_markup_and_depth():
     assert blocks_of(Tree("<svg/><p>t</p><script/>x</script><p>u").runs, [True] * 99) == "t\nu"
 
 
+def test_parts_below_many_open_elements(model):
+    parts = '<article><p>The long story of the hills, told in full by those who were there.</p></article><footer class="footer">&copy; All of us</footer>'
+    for opened in ("<b>" * 500, "<div>" * 500):
+        tree = Tree(opened + parts)
+        assert len({node for _, node, _, data in tree.runs if data.strip()}) == 2
+    text = H.Extractor(model).texts(["<b>" * 500 + parts])[0]
+    assert text == "The long story of the hills, told in full by those who were there."
+
+
 def test_rows(spark, model):
     rows = [(1, "u", PAGE, "x"), (2, None, None, "x"), (3, "u", "", "x"), (1, "u", PAGE, "x"), (None, "u", "<article><p>Long text of it. " + "word " * 50000, "x")]
     got = sorted(H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect(), key=lambda g: str(g.page_id))
