@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from fathomline.llm.html_tree import BLOCKS, Tree, blocks_of
 
-#: Labelled pages that the model is trained on.
-PAGES = 600
+#: Labelled pages that the model is trained on, and the share of those that are an article alone.
+PAGES, BARE = 800, 0.12
+#: A labelled page that begins so is an article where no element says otherwise.
+MAIN = "<!--main-->"
 # Words of class, id and role that tell parts of a page, by part.
 LEXICON = {
     "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs toc tabs pagination pager sitemap skip toolbar",
@@ -50,7 +52,7 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 # Elements that say what all within them is.
 _REGIONS = ("article", "aside", "footer", "form", "header", "main", "nav")
 _TAGS = sorted(BLOCKS) + ["#page", "a", "span", "other"]
-_NAMES = ["bias"] + [f"tag {t}" for t in _TAGS] + [f"{kind} {part}" for kind in ("named", "role", "within") for part in LEXICON] + [f"within <{t}>" for t in _REGIONS] + [f"words {i}" for i in range(8)] + [f"links {i}" for i in range(4)] + ["stops", "ends"]
+_NAMES = ["bias"] + [f"tag {t}" for t in _TAGS] + [f"{kind} {part}" for kind in ("named", "role", "within") for part in LEXICON] + [f"within <{t}>" for t in _REGIONS] + [f"words {i}" for i in range(8)] + [f"links {i}" for i in range(4)] + [f"{kind} {t}" for kind in ("owns", "plain") for t in _TAGS] + [f"part {i}" for i in range(5)] + ["stops", "ends"]
 INDEX = {n: i for i, n in enumerate(_NAMES)}
 
 
@@ -61,13 +63,14 @@ def _parts(value: str) -> set[str]:
 def features(tree: Tree) -> list[list[int]]:
     """The active features of each node."""
     n = len(tree.tag)
-    words, linked, text = [0] * n, [0] * n, [""] * n
+    words, linked, stops, ends = [0] * n, [0] * n, [False] * n, [False] * n
     for _, node, link, data in tree.runs:
         k = len(data.split())
-        words[node] += k
-        linked[node] += k if link else 0
-        if k and len(text[node]) < 400:
-            text[node] += data[:400]
+        if k:  # the whole text counts, however long
+            words[node] += k
+            linked[node] += k if link else 0
+            stops[node] = stops[node] or any(c in data for c in ".!?,;")
+            ends[node] = data.rstrip()[-1] in ".!?"
     under, under_linked = words[:], linked[:]
     for v in range(n - 1, 0, -1):
         under[tree.parent[v]] += under[v]
@@ -86,10 +89,16 @@ def features(tree: Tree) -> list[list[int]]:
         own.append(INDEX[f"words {min(7, under[v].bit_length())}"])
         share = under_linked[v] / under[v] if under[v] else 0
         own.append(INDEX[f"links {0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}"])
-        if any(c in text[v] for c in ".!?,;"):
+        if stops[v]:
             own.append(INDEX["stops"])
-        if text[v].rstrip()[-1:] in (".", "!", "?"):
+        if ends[v]:
             own.append(INDEX["ends"])
+        if words[v]:
+            own.append(INDEX.get(f"owns {tag}", INDEX["owns other"]))
+            if not (around or named or role):  # nothing above says what this is
+                own.append(INDEX.get(f"plain {tag}", INDEX["plain other"]))
+            part = words[v] / under[0]  # of the page's words
+            own.append(INDEX[f"part {0 if part < 0.1 else 1 if part < 0.4 else 2 if part < 0.8 else 3 if part < 1 else 4}"])
         out.append(own)
     return out
 
@@ -145,8 +154,19 @@ class Forest:
         return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -500, 500))), joint
 
 
+# Plain words that labelled pages are worded with, beside made-up ones.
+PLAIN = "a the of and to in that it is was for on are as with his they at be this from or had by but some what there we can out other were all your when up use how each she many then them these so her would make like him into time has look two more write go see no way could my than been call who oil now find long down day did get come made may part".split()
+_VOWELS, _OTHERS = "aeiou\u00e4\u00e9\u00f3", "bcdfghjklmnprstvwz"
+
+
+def _word(r: random.Random) -> str:
+    if r.random() < 0.5:
+        return r.choice(PLAIN)
+    return "".join(r.choice(_OTHERS) + r.choice(_VOWELS) + r.choice(("", "", "n", "r", "s")) for _ in range(r.randint(1, 4)))
+
+
 def _sentence(r: random.Random, least: int, most: int) -> str:
-    w = ["".join(r.choice(("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or")) for _ in range(r.randint(1, 4))) for _ in range(r.randint(least, most))]
+    w = [_word(r) for _ in range(r.randint(least, most))]
     if r.random() < 0.15:  # wordings of all kinds: commas, repeats, marks, capitals
         w = [x + r.choice(("", ",", ".", "!!", "***")) for x in w]
     elif r.random() < 0.05:
@@ -155,10 +175,31 @@ def _sentence(r: random.Random, least: int, most: int) -> str:
     return (text.upper() if r.random() < 0.03 else text.capitalize()) + r.choice(("", "", ".", ".", ".", "!", "?", ":", ","))
 
 
+def _bare_page(r: random.Random) -> str:
+    """An article with nothing about it: plain text, or one block or a few."""
+    text = lambda: " ".join(_sentence(r, 1, 24) for _ in range(r.choice((1, 2, 2, 3, 5, 9))))
+    kind = r.random()
+    if kind < 0.25:
+        return MAIN + "\n".join(text() for _ in range(r.choice((1, 1, 2, 4))))
+    tag = r.choice(("p", "p", "div", "div", "section", "article", "main", "blockquote", "pre"))
+    inner = "".join(f'<{tag} data-main="1">{text()}</{tag}>' for _ in range(r.choice((1, 1, 1, 2, 3))))
+    if kind < 0.35:
+        inner = text()
+    elif kind < 0.5:
+        inner = f'<div data-main="1">{inner}</div>'
+    if r.random() < 0.3:
+        inner = f'<h{r.choice("123")} data-main="1">{_sentence(r, 1, 9)}</h1>' + inner
+    if r.random() < 0.3:
+        return MAIN + inner
+    return f'<html data-main="0"><body data-main="1">{inner}</body></html>'
+
+
 def labelled_page(r: random.Random) -> str:
     """A page whose elements say in ``data-main`` whether their text belongs to the article."""
     s = lambda a, b: _sentence(r, a, b)
     pick = r.choice
+    if r.random() < BARE:
+        return _bare_page(r)
 
     def links(n: int) -> str:
         return "".join(f'<li data-main="0"><a href="/x{i}">{s(1, 4)}</a></li>' for i in range(n))
@@ -256,10 +297,10 @@ def trained(pages: int = PAGES, seed: int = 11, steps: int = 300) -> tuple[tuple
 def forest_and_labels(pages: list[str]) -> tuple[Forest, np.ndarray]:
     trees = [Tree(p) for p in pages]
     y = []
-    for t in trees:
+    for page, t in zip(pages, trees, strict=True):
         for v in range(len(t.tag)):
             own = t.attrs[v].get("data-main")
-            y.append(float(own) if own is not None else (y[len(y) - v + t.parent[v]] if v else 0.0))
+            y.append(float(own) if own is not None else (y[len(y) - v + t.parent[v]] if v else float(page.startswith(MAIN))))
     return Forest(trees), np.array(y)
 
 

@@ -1,10 +1,14 @@
+import itertools
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from fathomline.llm import html_extract as H
 from fathomline.llm.html_tree import Tree, blocks_of
+from tests.llm import page_shapes
 
 
 @pytest.fixture(scope="module")
@@ -20,20 +24,75 @@ def test_held_out_accuracy(model):
     assert ((content > 0.5) == (y > 0.5)).mean() > 0.97
 
 
-def test_marginals_equal_enumeration():
-    r = random.Random(1)
-    tree = Tree("<body><div><p>a b.</p><ul><li>x</li></ul></div><nav><a>m</a></nav></body>")
-    forest = H.Forest([tree])
+def enumerated(forest, weights, edge):
+    """P(content) of each node, by the sum over all assignments."""
     n = forest.n
-    weights, edge = np.random.default_rng(3).normal(size=len(H.INDEX)), np.random.default_rng(4).normal(size=(2, 2))
+    y = np.array(list(itertools.product((0, 1), repeat=n)))
     own = forest.scores(weights)
-    total, on = 0.0, np.zeros(n)
-    for code in range(1 << n):
-        y = [code >> i & 1 for i in range(n)]
-        p = np.exp(sum(own[v, y[v]] for v in range(n)) + sum(edge[y[forest.parent[v]], y[v]] for v in range(n) if forest.parent[v] >= 0))
-        total += p
-        on += p * np.array(y)
-    assert np.allclose(forest.marginals(weights, edge)[0], on / total)
+    score = sum(own[v, y[:, v]] for v in range(n)) + sum(edge[y[:, forest.parent[v]], y[:, v]] for v in range(n) if forest.parent[v] >= 0)
+    p = np.exp(score - score.max())
+    return (p[:, None] * y).sum(0) / p.sum()
+
+
+def random_page(r, depth=0):
+    tags = ["p", "div", "li", "ul", "section", "nav", "b", "i", 'div class="ad"', 'span class="post"']
+    out = []
+    for _ in range(r.randint(1, 3)):
+        tag = r.choice(tags)
+        inner = random_page(r, depth + 1) if depth < 2 and r.random() < 0.5 else r.choice(["x y.", "a  b &amp; c", "", "Long, long text\nof it!", "z"])
+        out.append(f"<{tag}>{inner}</{tag.split()[0]}>" if r.random() < 0.9 else inner + "<br>")
+    return "".join(out)
+
+
+def test_texts_equal_enumeration(model):
+    """Marginals of many small random pages by enumeration, then the rule for blocks said anew."""
+    r, g = random.Random(1), np.random.default_rng(3)
+    seen = 0
+    for i in range(400):
+        page = random_page(r)
+        tree = Tree(page)
+        forest = H.Forest([tree])
+        if forest.n > 13:
+            continue
+        seen += 1
+        weights, edge = (np.array(model[0]), np.array(model[1]).reshape(2, 2)) if i % 2 else (g.normal(size=len(H.INDEX)), g.normal(size=(2, 2)))
+        p = enumerated(forest, weights, edge)
+        assert np.allclose(forest.marginals(weights, edge)[0], p)
+        blocks = [re.sub(r"\s+", " ", "".join(t for _, v, _, t in runs if p[v] > 0.5)).strip() for _, runs in itertools.groupby(tree.runs, key=lambda x: x[0])]
+        assert H.Extractor((tuple(weights), tuple(edge.ravel()))).texts([page]) == ["\n".join(b for b in blocks if b)]
+    assert seen > 200
+
+
+def test_other_pages(model):
+    """Words of the article and of the outcome, on pages that the training generator didn't shape."""
+    made = list(page_shapes.pages(350, 5))
+    shared = got_words = article_words = 0
+    for (_, _, article), got in zip(made, H.Extractor(model).texts([h for _, h, _ in made]), strict=True):
+        a, b = Counter(got.split()), Counter(article.split())
+        shared, got_words, article_words = shared + (a & b).total(), got_words + a.total(), article_words + b.total()
+    assert shared / got_words > 0.99 and shared / article_words > 0.99
+
+
+STORY = "The council met on Monday, and voted to keep the library open. Residents cheered."
+
+
+def test_articles_of_one_block(model):
+    shapes = ("{}", "<p>{}</p>", "<div>{}</div>", "<html><body>{}</body></html>", "<html><body><p>{}</p></body></html>", "<html><body><div>{}</div></body></html>", "<html><body><article>{}</article></body></html>")
+    assert H.Extractor(model).texts([s.format(STORY) for s in shapes]) == [STORY] * len(shapes)
+    others = ('<div class="cookie-notice">{}</div>', "<footer>{}</footer>", '<html><body><nav><a href="/">Home</a></nav><footer>&copy; 2024</footer></body></html>')
+    assert H.Extractor(model).texts([s.format(STORY) for s in others]) == [""] * len(others)
+
+
+def test_a_mark_anywhere_in_a_long_text(model):
+    """All of a node's text is looked at: where in it the first mark stands changes nothing."""
+    words = [f"word{i}" for i in range(2000)]
+    for shape in ("<article><p>{}</p></article>", "<html><body><p>{}</p></body></html>", "<html><body><nav><a>Home</a></nav><div>{}</div></body></html>"):
+        features = []
+        for at in (1, 50, 100, 1500):
+            text = " ".join([*words[:at], words[at] + ",", *words[at + 1 :]])
+            features.append(H.features(Tree(shape.format(text))))
+            assert H.Extractor(model).texts([shape.format(text)]) == [text]
+        assert all(f == features[0] for f in features)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -62,11 +121,13 @@ def test_broken_markup_and_depth():
 
 def test_parts_below_many_open_elements(model):
     parts = '<article><p>The long story of the hills, told in full by those who were there.</p></article><footer class="footer">&copy; All of us</footer>'
-    for opened in ("<b>" * 500, "<div>" * 500):
+    story = "The long story of the hills, told in full by those who were there."
+    for opened in ("<b>" * 500, "<div>" * 500, "<div>" * 5000, "<b>" * 5000):
         tree = Tree(opened + parts)
         assert len({node for _, node, _, data in tree.runs if data.strip()}) == 2
-    text = H.Extractor(model).texts(["<b>" * 500 + parts])[0]
-    assert text == "The long story of the hills, told in full by those who were there."
+        assert H.Extractor(model).texts([opened + parts]) == [story]
+    menu = '<nav><ul><li><a href="/">Home</a></li></ul></nav>'
+    assert H.Extractor(model).texts(["<div>" * 5000 + menu + parts + "</div>" * 5000]) == [story]
 
 
 def test_rows(spark, model):
