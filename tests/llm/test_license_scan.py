@@ -1,6 +1,8 @@
 import random
+import re
 
-from fathomline.llm.license_scan import TEMPLATES, Scanner, scan
+from fathomline.llm import license_scan as L
+from fathomline.llm.license_scan import BODIES, TEMPLATES, Scanner, scan
 
 PROSE = "The quick brown fox and the lazy dog went over the hill to see what the others were doing there."
 
@@ -82,6 +84,146 @@ def test_lines_within_prose():
         assert [f.license_id for f in s.text("\n".join(lines))[1]] == [name], name
 
 
+def names(s, text):
+    return [f.license_id for f in s.text(text)[1]]
+
+
+def test_ranking_is_by_compression():
+    """A template saves most of its own text, ahead of its closest relatives; ties keep the table's order."""
+    s = Scanner()
+    for name, _, text in TEMPLATES:
+        ranking = s.ranked(f"{PROSE} {text}", s.templates)
+        assert len(ranking) == len(TEMPLATES) and [x for x, _ in ranking] == sorted((x for x, _ in ranking), reverse=True)
+        best = [t.name for saved, t in ranking if saved == ranking[0][0]]
+        assert name in best, (text, best)
+        assert [s.templates.index(t) for saved, t in ranking if saved == ranking[0][0]] == sorted(s.templates.index(t) for saved, t in ranking if saved == ranking[0][0])
+
+
+def test_full_wordings():
+    s = Scanner()
+    for name, _, text in BODIES:
+        words = text.split()
+        paragraphs = "\n\n".join(" ".join(words[i : i + 40]) for i in range(0, len(words), 40))
+        wrapped = "\n".join(" ".join(words[i : i + 11]) for i in range(0, len(words), 11))
+        for shown in (text, paragraphs, wrapped, text.upper()):
+            for around in ("{}", PROSE + "\n\n{}\n\n" + PROSE, "x y " * 5000 + "{}" + f"\n{PROSE}" * 300):
+                assert names(s, around.format(shown)) == [name], (name, around[:20])
+    both = f"{BODIES[0][2]}\n\n{BODIES[3][2]}\n\n{PROSE}\n{BODIES[2][2]}\n\nReleased under the MIT License.\nSPDX-License-Identifier: ISC"
+    assert names(s, both) == ["MIT", "BSD-3-Clause", "BSD-2-Clause", "MIT", "ISC"]
+    named = BODIES[3][2].replace("the copyright holder nor", "Apache Example 2.0 GmbH nor")
+    assert names(s, named) == ["BSD-3-Clause"]
+    assert names(s, f"Copyright 2020 A. Person\n\n{BODIES[0][2]}".replace("COPYRIGHT HOLDERS", "PERSONS")) == ["MIT"]
+    half = " ".join(BODIES[3][2].split()[:60])
+    assert names(s, half) == []
+
+
+def test_spdx_lines():
+    s = Scanner()
+    for line, wanted in (
+        ("SPDX-License-Identifier: MIT", ["MIT"]),
+        ("// spdx-license-identifier: apache-2.0\nint x;", ["Apache-2.0"]),
+        ("# SPDX-License-Identifier: (MIT OR Apache-2.0)", ["MIT", "Apache-2.0"]),
+        ("/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */", ["GPL-2.0"]),
+        ("SPDX-License-Identifier: GPL-2.0-or-later AND BSD-3-Clause.", ["GPL-2.0-or-later", "BSD-3-Clause"]),
+        ("SPDX-License-Identifier: LicenseRef-Own", []),
+        ("The SPDX list names MIT and others.", []),
+    ):
+        assert names(s, f"{PROSE}\n{line}\n{PROSE}") == wanted, line
+
+
+def test_denied_statements():
+    s = Scanner()
+    for text in (
+        "This software is not released under the MIT License.",
+        "This is not, in any way, licensed under CC BY 4.0.",
+        "The work was never licensed under the Apache License, Version 2.0.",
+        "This project is not licensed under the terms of the MIT license.",
+        "Neither this file nor that one is licensed under CC BY-SA 4.0.",
+        "Permission is hereby not granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    ):
+        assert names(s, text) == [], text
+        assert names(s, text.replace(" ", "\n", 3)) == [], text
+    assert names(s, "This is not released under the MIT License, but licensed under CC BY 4.0.") == ["CC-BY-4.0"]
+    assert names(s, "If not stated otherwise, licensed under CC BY 4.0.") == ["CC-BY-4.0"]
+    assert names(s, "It is not finished. Released under the MIT License.") == ["MIT"]
+
+
+SAME = {"software": "program", "licensed": "distributed and licensed", "released": "made available", "work": "picture", "project": "package", "library": "module"}
+
+
+def mutated(r, text, name):
+    """(changed notice, does it still state the license?)."""
+    kind = r.randrange(8)
+    words = text.split()
+    if kind == 0:
+        return text.upper(), True
+    if kind == 1:
+        return "\n".join(" ".join(words[i : i + 4]) for i in range(0, len(words), 4)), True
+    if kind == 2:
+        return re.sub(r"\w+", lambda m: SAME.get(m.group(), m.group()) if len(words) > 7 else m.group(), text), True
+    if kind == 3:
+        return re.sub(r"[\"(),;]", "", text), True
+    if kind == 4:
+        return "This file is not " + text[0].lower() + text[1:] if text.startswith(("Licensed", "Released")) else "It is not true: " + text.split(".")[0][0].lower() + text[1:], False
+    if kind == 5 and re.search(r"\d\.\d|version \d", text):
+        return re.sub(r"\d(?=\.\d|\b)", "7", text), False
+    if kind == 6:
+        swap = [("MIT", "NIT"), ("Apache", "Navajo"), ("GNU", "GNAT"), ("Mozilla", "Gozilla"), ("ISC", "ISO"), ("CC BY", "CC GO"), ("BSD", "LSD"), ("Attribution", "Retribution")]
+        for a, b in swap:
+            if a in text:
+                return text.replace(a, b), False
+    return text, True
+
+
+def test_mutated_notices():
+    """Precision and recall of statements in documents of prose with changed notices."""
+    s, r = Scanner(), random.Random(8)
+    right = found = wanted = 0
+    for _ in range(600):
+        name, _, text = r.choice(TEMPLATES)
+        shown, states = mutated(r, text, name)
+        gap = "\n\n" if r.random() < 0.5 else "\n"
+        got = names(s, f"{PROSE}{gap}{shown}{gap}{PROSE}" if r.random() < 0.7 else shown)
+        right += states and name in got
+        found, wanted = found + len(got), wanted + states
+    print(f"precision {right / found:.4f} recall {right / wanted:.4f}")
+    assert right / found > 0.95 and right / wanted > 0.95
+
+
+def test_no_gate_loses_a_statement(monkeypatch):
+    """Brute force: every sentence is a block, compressed with and compared to every template; nothing is remembered."""
+    r = random.Random(4)
+    texts = []
+    for _ in range(60):
+        parts = [PROSE, "Was mit der Lizenz gemeint ist, steht dort.", "All permission reserved rights.", "GNU and Apache 2.0 are names.", "A license of MIT make."]
+        parts += [mutated(r, *r.choice(TEMPLATES)[::-2])[0] for _ in range(4)]
+        r.shuffle(parts)
+        texts.append(r.choice((" ", "\n", "\n\n")).join(parts))
+    gated = [Scanner().text(t)[1] for t in texts]
+
+    class Everything:
+        def search(self, *a):
+            return True
+
+    class Brute(Scanner):
+        def _best(self, text, spans, lo, hi, sentences):
+            self.seen = {}
+            cuts = [lo, *(k for k in range(lo + 1, hi) if "\n" in text[spans[k - 1][2] : spans[k][1]]), hi]
+            parts = [(lo, hi), *zip(cuts, cuts[1:])]
+            ranking = self.ranked(self._plain(text, spans, lo, hi), [t for t in self.templates if not sentences or t.sentences == sentences])
+            for _, t in ranking:
+                for part in parts:
+                    if f := self._confirmed(text, spans, lo, hi, part, t):
+                        share = self._share(self._plain(text, spans, f.first, f.last), t)
+                        if share >= L.LEAST_SAVED:
+                            return L.replace(f, saved=share)
+                        break
+            return None
+
+    monkeypatch.setattr(L, "MAY", Everything())
+    assert [Brute().text(t)[1] for t in texts] == gated and sum(map(len, gated)) > 100
+
+
 def test_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, f"{PROSE}\nReleased under the MIT License.\n{PROSE}", "x"), (3, f"{PROSE}\nReleased under the MIT License.\n{PROSE}", "x"), (None, "All rights reserved.", "x"), (4, "word " * 100000 + "\nLicensed under CC BY-NC 4.0.\nAll rights reserved.", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, licenses string")
