@@ -185,32 +185,59 @@ def bundles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+def indexed_records(bundle: bytes, names: list[str], frames: list[int], offsets: list[int], lengths: list[int]) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(frame, headers, block) of each record that the index maps to a place; each frame is unpacked once.
+
+    A place that holds another record, and records that the index leaves out, are errors.
+    """
+    table = seek_table(bundle)
+    unpack = zstandard.ZstdDecompressor()
+    at, data = -1, b""
+    for name, frame, offset, length in zip(names, frames, offsets, lengths, strict=True):
+        if frame != at:
+            start, packed, size = table[frame]
+            at, data = frame, unpack.decompress(bundle[start : start + packed], max_output_size=size)
+        head, block = next(parse(data[offset : offset + length]), ({}, b""))
+        if head.get("WARC-Record-ID") != name:
+            raise ValueError(f"{name} is not at its place in the bundle")
+        yield frame, head, block
+    if sum(lengths) != sum(size for _, _, size in table):
+        raise ValueError("the bundle holds records that its index lacks")
+
+
 def read_back(archives: DataFrame) -> DataFrame:
-    """The records of bundles (name, data), frame by frame; a response's digest is taken from its payload."""
+    """The records of bundles (name, data, index), each by its place in the index; a response's digest is taken from its payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORDS.split(", ")]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-        unpack = zstandard.ZstdDecompressor()
+
+        def made(out: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
+
         for batch in batches:
             for i in range(batch.num_rows):
-                data = batch.column(0)[i].as_py()
-                for start, packed, size in seek_table(data):
-                    out: list[list] = [[] for _ in names]
-                    for head, block in parse(unpack.decompress(data[start : start + packed], max_output_size=size)):
-                        number = lambda key: int(head[key]) if key in head else None  # noqa: B023, E731
-                        kind = head["WARC-Type"]
-                        digest, length = head["WARC-Payload-Digest"].removeprefix("sha1:"), number("X-Payload-Length")
-                        if kind == "response":
-                            payload = block[block.index(b"\r\n\r\n") + 4 :]
-                            if base32_sha1(payload) != digest:
-                                raise ValueError(f"{head['WARC-Record-ID']}: the payload is not what was written")
-                            length = len(payload)
-                        for column, value in zip(out, (number("X-Page-Id"), head.get("WARC-Target-URI"), length, digest, kind, number("X-Refers-To-Page-Id")), strict=True):
-                            column.append(value)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
-
-    return archives.select("data").mapInArrow(run, RECORDS)
+                index = batch.column(1)[i].values
+                places = [index.field(k).to_pylist() for k in ("record_id", "frame", "offset", "length")]
+                out: list[list] = [[] for _ in names]
+                last = 0
+                for frame, head, block in indexed_records(batch.column(0)[i].as_py(), *places):
+                    if frame != last:
+                        yield made(out)
+                        out, last = [[] for _ in names], frame
+                    number = lambda key: int(head[key]) if key in head else None  # noqa: B023, E731
+                    kind = head["WARC-Type"]
+                    digest, length = head["WARC-Payload-Digest"].removeprefix("sha1:"), number("X-Payload-Length")
+                    if kind == "response":
+                        payload = block[block.index(b"\r\n\r\n") + 4 :]
+                        if base32_sha1(payload) != digest:
+                            raise ValueError(f"{head['WARC-Record-ID']}: the payload is not what was written")
+                        length = len(payload)
+                    for column, value in zip(out, (number("X-Page-Id"), head.get("WARC-Target-URI"), length, digest, kind, number("X-Refers-To-Page-Id")), strict=True):
+                        column.append(value)
+                yield made(out)
+
+    return archives.select("data", "index").mapInArrow(run, RECORDS)
 
 
 def archive(pages: DataFrame, **options) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import zstandard
 
 from fathomline.llm import warc as A
@@ -55,3 +56,22 @@ def test_small_payloads_stay_responses(spark):
     pages = spark.createDataFrame([(1, "u", "abc"), (2, "u", "abc"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     got = {g.page_id: (g.record_type, g.refers_to) for g in A.read_back(A.archive(pages, least=4)).collect()}
     assert got == {1: ("response", None), 2: ("response", None), 3: ("response", None), 4: ("revisit", 3)}
+
+
+def test_reading_goes_through_the_index():
+    """Places decide what is read: order doesn't matter, a wrong place or a record left out is an error."""
+    writer = A.BundleWriter()
+    for i in range(900):
+        payload = f"page {i} ".encode() * (i % 97 + 1)
+        digest = A.base32_sha1(payload)
+        writer.add(A.record_id(i, digest), A.record(i, "u", payload, digest, None, "1970-01-01T00:00:00Z"))
+    bundle, index = writer.finish(), writer.index
+    assert len(A.seek_table(bundle)) > 1
+    places = lambda es: [[e[k] for e in es] for k in ("record_id", "frame", "offset", "length")]
+    assert [int(h["X-Page-Id"]) for _, h, _ in A.indexed_records(bundle, *places(index))] == list(range(900))
+    assert [int(h["X-Page-Id"]) for _, h, _ in A.indexed_records(bundle, *places(index[::-1]))] == list(range(900))[::-1]
+    swapped = [dict(e) for e in index]
+    swapped[3]["offset"], swapped[4]["offset"] = swapped[4]["offset"], swapped[3]["offset"]
+    for wrong in (swapped, index[:-1]):
+        with pytest.raises(ValueError):
+            list(A.indexed_records(bundle, *places(wrong)))
