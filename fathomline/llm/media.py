@@ -9,14 +9,16 @@ read back from the stored bytes alone. A task leaves out digests that it has sto
 several tasks have stored is made one after reading, when each medium is a small row of facts.
 
 Defined cases: a null text or page is empty (an empty text has one row of padding; an empty page has
-an empty sequence); a reference whose medium isn't in the store keeps null facts; equal texts have
-equal values; repeated rows have results each; a sequence's parts are put together by row number,
-so repeated or null ids are fine; other columns are ignored.
+an empty sequence); a reference whose medium isn't in the store keeps null facts; a medium without a
+caption or alt text, or with a null one, has a null caption; equal texts have equal values; repeated
+rows have results each; a sequence's parts are put together by row number, so repeated or null ids
+are fine; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import html
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,6 +33,8 @@ from fathomline.llm.common import materialize
 from fathomline.llm.html_tree import BLOCKS
 
 WIDTH = 576
+#: Texts that are shown on one page.
+FIGURES = 8
 #: Digests that a task remembers to leave out media that it has stored.
 REMEMBERED = 100_000
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -147,14 +151,14 @@ def facts(media: DataFrame) -> DataFrame:
 class Sequence(HTMLParser):
     """``items``: (kind, text or caption, digest) in the order of the page."""
 
-    def __init__(self, html: str):
+    def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
         self.items: list[list] = []
         self.text: list[str] = []
         self.figures: list[int] = []  # where the open figures began
         self.caption: list[str] | None = None
         self.hidden = 0
-        self.feed(html)
+        self.feed(page)
         self.close()
         self._block()
 
@@ -204,14 +208,17 @@ _ITEMS = "array<struct<position:int,kind:string,text:string,digest:string>>"
 
 
 def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(row, id, items): each page as its ordered structs; a medium's ``text`` is its caption."""
+    """(row, id, items): each page as its ordered structs; a medium's ``text`` is its caption.
+
+    The row number is the task's and the row's in it: write the outcome as a table before it is joined.
+    """
     kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                items = [[{"position": i, "kind": k, "text": t, "digest": d} for i, (k, t, d) in enumerate(Sequence(html.as_py() or "").items)] for html in part.column(2)]
+                items = [[{"position": i, "kind": k, "text": t, "digest": d} for i, (k, t, d) in enumerate(Sequence(page.as_py() or "").items)] for page in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(items, kind)], ["row", "id", "items"])
 
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html"))
@@ -219,23 +226,51 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
 
 def resolved(items: DataFrame, found: DataFrame) -> DataFrame:
-    """(row, id, position, kind, text, digest, facts...) of sequences, media resolved by their digest."""
+    """(row, id, position, kind, text, digest, facts...) of sequences, media resolved by their digest; texts don't take part in the join."""
     each = items.select("row", "id", F.explode("items").alias("x")).select("row", "id", "x.*")
-    return each.join(found, "digest", "left")
+    media = each.where("kind = 'media'").join(found, "digest", "left").select(*each.columns, *[c for c in found.columns if c != "digest"])
+    return media.unionByName(each.where("kind <> 'media'"), allowMissingColumns=True)
 
 
 def interleaved(pages: DataFrame, found: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, sequence): each page's structs in order, with the facts of its media."""
+    """(row, id, sequence): each page's structs in order, with the facts of its media."""
     items = materialize(sequences(pages, id_col, html_col), "sequences")
     extra = [c for c in found.columns if c != "digest"]
     parts = resolved(items, found).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("position", "kind", "text", "digest", *extra))).alias("sequence"))
-    return items.select("row", "id").join(parts, "row", "left").select("id", F.coalesce("sequence", F.array().cast(parts.schema["sequence"].dataType)).alias("sequence"))
+    return items.select("row", "id").join(parts, "row", "left").select("row", "id", F.coalesce("sequence", F.array().cast(parts.schema["sequence"].dataType)).alias("sequence"))
 
 
-def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every text as a medium of its own small page; one row per row of ``docs``: doc_id and the facts."""
-    found = facts(store(docs, text_col))
+def _album(docs: pa.RecordBatch, first: int) -> str:
+    """A page that shows texts as figures, one after another, each with words before it and a caption."""
+    out = ["<h1>Documents</h1>"]
+    for k, (digest, caption) in enumerate(zip(docs.column(1).to_pylist(), docs.column(2).to_pylist(), strict=True)):
+        shown = html.escape(caption) if caption else ""
+        out.append(f'<p>Number {first + k + 1}</p><figure><img src="sha256:{digest}"><figcaption>{shown}</figcaption></figure>')
+    return "".join(out)
+
+
+def albums(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", caption_col: str | None = None, figures: int = FIGURES) -> DataFrame:
+    """(page_id, ids, html): pages of up to ``figures`` texts, with the ids of those in order. Narrow: a page's texts are neighbours."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [batch.slice(lo, figures) for lo in range(0, batch.num_rows, figures)]
+            yield pa.RecordBatch.from_arrays([pa.array([p.column(0).to_pylist() for p in parts], pa.list_(pa.int64())), pa.array([_album(p, 0) for p in parts], pa.string())], ["ids", "html"])
+
     digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    page = F.concat(F.lit('<p>Document</p><figure><img src="sha256:'), digest, F.lit('"><figcaption>The text of the document, as samples</figcaption></figure>'))
-    pages = docs.select(F.col(id_col).alias("page_id"), page.alias("html"))
-    return resolved(sequences(pages), found).where("kind = 'media'").select(F.col("id").alias("doc_id"), *FACTS)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), digest.alias("digest"), (F.col(caption_col).cast("string") if caption_col else F.lit(None).cast("string")).alias("caption"))
+    made = rows.mapInArrow(run, "ids array<long>, html string")
+    return materialize(made.select(F.monotonically_increasing_id().alias("page_id"), "ids", "html"), "albums")
+
+
+def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", caption_col: str | None = None) -> DataFrame:
+    """Every text as a medium of an interleaved page of several; one row per row of ``docs``.
+
+    It has doc_id, the facts, and where the medium stands: sequence_id, position and caption. The
+    k-th medium of a sequence is that of the page's k-th id, so ids come from positions alone.
+    """
+    found = facts(store(docs, text_col))
+    pages = albums(docs, id_col, text_col, caption_col)
+    media = interleaved(pages, found).select("id", F.filter("sequence", lambda x: x["kind"] == "media").alias("media"))
+    each = media.join(pages.select(F.col("page_id").alias("id"), "ids"), "id").select("id", "ids", F.posexplode("media").alias("k", "m"))
+    return each.select(F.get("ids", F.col("k")).alias("doc_id"), *[F.col(f"m.{c}").alias(c) for c in FACTS], F.col("id").alias("sequence_id"), F.col("m.position").alias("position"), F.col("m.text").alias("caption"))

@@ -43,7 +43,20 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.text_media(table(spark, sf_dir, "documents"))
+    return media.text_media(table(spark, sf_dir, "documents"), caption_col="source")
+
+
+def media_page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as an interleaved sequence, each page with the document of its number as a figure at its end."""
+    docs = table(spark, sf_dir, "documents")
+    figure = F.concat(F.lit('<figure><img alt="a document" src="sha256:'), F.sha2(F.coalesce("text", F.lit("")), 256), F.lit('"><figcaption>'), F.coalesce("lang", F.lit("")), F.lit("</figcaption></figure>"))
+    figures = docs.select(F.col("doc_id").alias("page_id"), figure.alias("figure"))
+    pages = table(spark, sf_dir, "pages").join(figures, "page_id", "left").select("page_id", F.concat(F.coalesce("html", F.lit("")), F.coalesce("figure", F.lit(""))).alias("html"))
+    found = media.interleaved(pages, media.facts(media.store(docs)))
+    texts = F.transform(F.filter("sequence", lambda x: x["kind"] == "text"), lambda x: x["text"])
+    shown = F.filter("sequence", lambda x: x["kind"] == "media")
+    first = lambda c: F.get(shown, F.lit(0))[c]
+    return found.select(F.col("id").alias("page_id"), F.size("sequence").alias("n_items"), F.size(shown).alias("n_media"), F.sha2(F.array_join(texts, "\n"), 256).alias("text_sha256"), first("position").alias("position"), first("text").alias("caption"), first("n_bytes").alias("n_bytes"), first("media_sha256").alias("media_sha256"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +80,7 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "media_page_sequences": media_page_sequences,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
