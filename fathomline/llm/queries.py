@@ -100,9 +100,9 @@ e as (select doc_id, source, kind, vals[i] as v, length(wholes[i]) as n,
         list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(wholes[1:i - 1], lambda x: length(x))), 0) as s
       from (select *, unnest(range(1, len(wholes) + 1)) as i from f)),
 b as (select doc_id, source, kind, v, cast(s as bigint) as s, cast(s + n as bigint) as e from e where kind <> 0 or length(v) >= {secret_scan.LEAST_VALUE}),
-o as (select v, count(distinct source) as owners from b group by v),
+o as (select v, count(distinct source) as owners, count(distinct doc_id) as repos from b group by v),
 l as (select distinct doc_id, 3 as kind, cast(e - length(v) as bigint) as s, e from b join o using (v)
-      where owners <= {secret_scan.OWN} and length(v) >= 16 and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]')
+      where owners <= {secret_scan.OWN} and repos < {secret_scan.WIDE} and length(v) >= 16 and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]')
         and len(list_distinct(string_split(v, ''))) >= 8 and not regexp_matches(v, {quoted(secret_scan.SHOWN)})),
 a as (select doc_id, kind, s, e from b union all select * from l),
 t as (select doc_id, kind, s, e, concat(['assign', 'access', 'hex', 'live'][kind + 1], ':', s, ':', e) as x from a),

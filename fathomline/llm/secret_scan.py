@@ -1,9 +1,10 @@
 """Secret scans by corpus-wide ownership frequency, in DataFrame operations only.
 
 Patterns find candidate credentials with their places. The hash of each candidate value is counted
-over the corpus: in how many repositories, of how many owners, does it occur? A value that several
-owners share is a copied example; a live-looking value of a single owner is likely a credential in
-use, and its place is added as a span of kind ``live``.
+over the corpus: in how many repositories, of how many owners, does it occur? A live-looking value
+that a single owner has in few repositories is likely a credential in use, and its place is added
+as a span of kind ``live``. A value that several owners share, or that stands in many repositories
+even of one owner, is a copied example: what is pasted so widely is a template or a vendored file.
 
 A row's places come from running sums over its matches (a window per row), so their cost is linear
 in the matches. Counts are aggregated before each shuffle by (value, owner, repository), then
@@ -35,6 +36,8 @@ LEAST_VALUE = 12
 SHOWN = r"(?i)example|sample|dummy|change_?me|placeholder|xxxx|test|0000000|1234567"
 #: Owners of one value: so many at most make it owner-specific, so many at least make it a copied example.
 OWN, COPIED = 1, 3
+#: Repositories of one value: so many at least make it a copied example, whoever owns them.
+WIDE = 20
 
 
 def _looks_live(v: Column) -> Column:
@@ -65,8 +68,8 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str | Non
     )
 
 
-def spans_of(found: DataFrame, own: int = OWN) -> DataFrame:
-    """Per row with any: row and spans, an array of (start, kind, end, owners) by start, then kind."""
+def spans_of(found: DataFrame, own: int = OWN, wide: int = WIDE) -> DataFrame:
+    """Per row with any: row and spans, an array of (start, kind, end, owners, repos) by start, then kind."""
     kinds = found.where("found is not null").select("row", "owner", "repo", F.explode("found").alias("k"))
     each = kinds.select("row", "owner", "repo", F.col("k.kind").alias("kind"), F.posexplode("k.m").alias("i", "m"))
     running = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
@@ -78,7 +81,7 @@ def spans_of(found: DataFrame, own: int = OWN) -> DataFrame:
     judged = placed.drop("owner", "repo").join(owners, "h")
     base = F.struct(F.col("start"), F.col("kind"), F.col("end"), F.col("owners"), F.col("repos"))
     live = F.struct((F.col("end") - F.col("n")).alias("start"), F.lit(3).alias("kind"), F.col("end"), F.col("owners"), F.col("repos"))
-    both = F.when(F.col("live") & (F.col("owners") <= own), F.array(base, live)).otherwise(F.array(base))
+    both = F.when(F.col("live") & (F.col("owners") <= own) & (F.col("repos") < wide), F.array(base, live)).otherwise(F.array(base))
     return judged.select("row", both.alias("s")).groupBy("row").agg(F.array_distinct(F.sort_array(F.flatten(F.collect_list("s")))).alias("spans"))
 
 
@@ -87,10 +90,10 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", kind(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_col: str | None = None, own: int = OWN) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_col: str | None = None, own: int = OWN, wide: int = WIDE) -> DataFrame:
     """One row per row of ``docs``: its id (as ``id``), key, spans (array), the counts and digests."""
     found = materialize(candidates(docs, id_col, text_col, owner_col, repo_col), "secret-candidates")
-    spans = spans_of(found, own)
+    spans = spans_of(found, own, wide)
     all_rows = found.select("row", "id", "key").join(spans, "row", "left")
     s = F.coalesce(F.col("spans"), F.array().cast("array<struct<start:bigint,kind:int,end:bigint,owners:bigint,repos:bigint>>"))
     base = F.filter(s, lambda x: x["kind"] < 3)
@@ -99,8 +102,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     return all_rows.select("id", "key", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(s).alias("span_text"), s.alias("spans"))
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_col: str | None = None, own: int = OWN) -> DataFrame:
-    """``docs`` with each found secret replaced: [SECRET], or [EXAMPLE SECRET] where many owners share it.
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_col: str | None = None, own: int = OWN, wide: int = WIDE) -> DataFrame:
+    """``docs`` with each found secret replaced: [SECRET], or [EXAMPLE SECRET] where many owners or repositories have it.
 
     Overlapping spans are replaced together. Rows without a candidate aren't shuffled.
     """
@@ -109,14 +112,14 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
     plain = docs.toDF(*inside)
     own_id, own_text = inside[columns.index(id_col)], inside[columns.index(text_col)]
     may = F.coalesce(F.col(own_text).rlike(ANY), F.lit(False))
-    found = scan(docs, id_col, text_col, owner_col, repo_col, own).where("size(spans) > 0").select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    found = scan(docs, id_col, text_col, owner_col, repo_col, own, wide).where("size(spans) > 0").select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))
     found = found.dropDuplicates(["__id", "__key"])
     hit = plain.where(may).withColumn("__k", text_key(own_text)).alias("d").join(found, F.col(f"d.{own_id}").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")), "left")
     text = F.col(own_text)
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(a: Column, x: Column) -> Column:
-        mark = F.when(x["owners"] >= COPIED, "[EXAMPLE SECRET]").otherwise("[SECRET]")
+        mark = F.when((x["owners"] >= COPIED) | (x["repos"] >= wide), "[EXAMPLE SECRET]").otherwise("[SECRET]")
         between = F.substring(text, (a["at"] + 1).cast("int"), F.greatest(x["start"] - a["at"], F.lit(0)).cast("int"))
         fresh = (x["start"] >= a["at"]) & (x["kind"] < 3)
         return F.struct(F.when(fresh, F.concat(a["out"], between, mark)).otherwise(a["out"]).alias("out"), F.greatest(a["at"], x["end"]).alias("at"))

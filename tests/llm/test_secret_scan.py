@@ -21,14 +21,15 @@ def live(v):
 
 
 def brute(rows):
-    owners = {}
-    for _, text, source in rows:
+    owners, repos = {}, {}
+    for i, text, source in rows:
         for *_, v in base(text):
             owners.setdefault(v, set()).add(source)
+            repos.setdefault(v, set()).add((source, i))
     out = []
     for i, text, _ in rows:
         b = base(text)
-        more = {(e - len(v), 3, e) for _, _, e, v in b if live(v) and len(owners[v]) <= 1}
+        more = {(e - len(v), 3, e) for _, _, e, v in b if live(v) and len(owners[v]) <= 1 and len(repos[v]) < S.WIDE}
         join = lambda x: ",".join(f"{S.KINDS[k]}:{s}:{e}" for s, k, e in x)
         three = [x[:3] for x in b]
         out.append((i, *(sum(k == n for _, n, _ in three) for k in range(3)), hashlib.sha256(join(three).encode()).hexdigest(), join(sorted({*three, *more}))))
@@ -56,6 +57,18 @@ def test_equals_brute_force(spark):
     assert sorted([(g.id, g.n_assign, g.n_access, g.n_hex, g.base_sha256, g.span_text) for g in got], key=str) == brute(rows)
 
 
+def test_repositories_count(spark):
+    """A value of one owner is live in 19 repositories and an example in 20; repeated rows are one repository."""
+    few, many = "c0ffee11d00d22f00d33", "beef44cafe55fade66ab"
+    rows = [(i, f"token={few} x", "one") for i in range(S.WIDE - 1)] + [(0, f"token={few} x", "one")] * 30
+    rows += [(100 + i, f"token={many}", "one") for i in range(S.WIDE)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = S.scan(docs).collect()
+    assert sorted([(g.id, g.n_assign, g.n_access, g.n_hex, g.base_sha256, g.span_text) for g in got], key=str) == brute(rows)
+    assert {g.id: g.n_live for g in got} == {i: int(i < 100) for i, *_ in rows}
+    assert {(r.doc_id < 100, r.text) for r in S.redacted(docs).collect()} == {(True, "[SECRET] x"), (False, "[EXAMPLE SECRET]")}
+
+
 def test_redaction(spark):
     rows = made(60)
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, key int")
