@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from fathomline.llm.common import tokenizer_path
 
 MARK = "▁"
-#: Distinct chunks kept by a worker; beyond that it starts anew.
-CACHE = 200_000
+#: Bytes of distinct chunks and their ids that a worker keeps, with about so many for each entry; beyond that it starts anew.
+CACHE, ENTRY = 64 << 20, 250
 _CHUNK = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
 
@@ -38,13 +38,13 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         crossing = any(MARK in p.lstrip(MARK) or " " in p or "\n" in p for p in pieces)
-        self.most, self.known = cache, {}
+        self.most, self.known, self.held = cache, {}, 0
         self.begin, self.end = self.model.bos_id(), self.model.eos_id()
         # the library adds one marker before a text and keeps all other characters as they are
         probe = "  a\n ﬁ Å  "
         kept = self.model.decode(self.model.encode(probe)) == probe and self.model.encode(" a", out_type=str)[0].startswith(MARK)
         self.by_chunk = kept and not crossing and self._chunked("a  b\n\nc") == self.model.encode("a  b\n\nc") and MARK in pieces
-        self.known = {}
+        self.known, self.held = {}, 0
 
     def _segment(self, chunk: str) -> bytes:
         if chunk[0] == "\n":  # the added marker stands alone before a line feed
@@ -59,11 +59,14 @@ class Codec:
             return b"".join(map(self.known.__getitem__, chunks))
         except KeyError:
             distinct = set(chunks)
-            fresh = [c for c in distinct if c not in self.known]
-            if len(self.known) + len(fresh) > self.most:
-                self.known, fresh = {}, distinct
-            for c in fresh:
-                self.known[c] = self._segment(c)
+            made = {c: self._segment(c) for c in distinct if c not in self.known}
+            size = sum(4 * len(c) + len(ids) + ENTRY for c, ids in made.items())
+            if self.held + size > self.most:  # anew; a text of more than fits is segmented without the table
+                made |= {c: self.known[c] for c in distinct if c in self.known}
+                self.known, self.held = {}, 0
+                return b"".join(map(made.__getitem__, chunks))
+            self.known.update(made)
+            self.held += size
             return b"".join(map(self.known.__getitem__, chunks))
 
     def _chunked(self, text: str) -> list[int]:
