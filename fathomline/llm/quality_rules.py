@@ -135,7 +135,7 @@ def compiled(rules: tuple[Rule, ...], counts: Callable[[str], Column]) -> Column
 def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = THRESHOLDS, window: int = 8, out: str = "quality") -> DataFrame:
     """``docs`` with a struct ``out``: the counts, base_failed, failed (rule names) and kept."""
     columns = docs.columns
-    if out in columns:
+    if out.lower() in [c.lower() for c in columns]:  # names are compared as Spark does
         raise ValueError(f"{out} is a column already; name another")
     inside = [f"_{i}" for i in range(len(columns))]
     plain = docs.toDF(*inside)

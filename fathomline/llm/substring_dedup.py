@@ -141,7 +141,8 @@ def removal_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     resolved = materialize(resolved, "substring-resolved")
     parts = segments.join(resolved, ["anchor", "span"]).where("doc > lo or hits is not null").select("doc", "key", F.struct("first", "n", F.when(F.col("doc") == F.col("lo"), F.col("hits")).alias("hits")).alias("part"))
-    return parts.groupBy("doc", "key").agg(F.collect_list("part").alias("parts"))
+    # a set: a row repeated a million times has the same parts, which are made one before the exchange
+    return parts.groupBy("doc", "key").agg(F.collect_set("part").alias("parts"))
 
 
 def merged(parts: list | None, window: int) -> list[tuple[int, int]]:
@@ -182,7 +183,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     It has n_words, n_removed, kept_sha256 (of the kept words, joined by one space), removed
     (maximal intervals of word numbers) and, with ``with_text``, kept (the text without them).
     """
-    if out in docs.columns:
+    if out.lower() in [c.lower() for c in docs.columns]:  # names are compared as Spark does
         raise ValueError(f"{out} is a column already; name another")
     parts = removal_intervals(docs, id_col, text_col, window, inner)
     columns = docs.columns
