@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.shared import shared_path
+from fathomline.shared import materialize
+
+__all__ = ["SPACES", "WORD", "materialize", "table", "text_key", "tokenizer_path"]
 
 #: Words are runs of anything but these six ASCII characters (space and 09 to 0D).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,17 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back.
-
-    This cuts the lineage: a lost executor costs a read of the table, not the work before it.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def tokenizer_path(name: str) -> str:
     """The file of one of the installed public vocabularies."""
     import public_tokenizers

@@ -82,7 +82,8 @@ def test_stages(spark, docs, tmp_path):
 
 def test_other_columns_pass_through(spark, docs):
     """Extra columns, some named like what operators make."""
-    extra = ["dedup", "quality", "key", "doc", "row", "spans", "label", "node", "kept", "found"]
+    # Spark compares names without case, so each is there once
+    extra = ["__own", "__text", "__key", "__doc", "__quality", "__dedup", "__parts", "__spans", "__id", "__k", "_0", "Dedup", "Quality", "key", "doc", "row", "spans", "label", "node", "kept", "found"]
     at = docs.select("*", *[F.when(F.col("doc_id") % 2 == 0, F.lit(n)).alias(n) for n in extra])
     wanted = at.columns
     for _, stage in P.STAGES[:-1]:
