@@ -20,7 +20,9 @@ emitting their pairs:
   of similarity t share one within the first (1 - t) n + 1 of each, at places that leave room for
   the overlap. Edits make rare shingles, so texts that are too far from all others have nothing to
   share and cost nothing. Only texts of different components are compared, so no bucket size is
-  capped and no link between components is lost.
+  capped and no link between components is lost. Within that join, bounds that are exact drop
+  pairs before any element is fetched: sizes, places, and 256-bit parity sketches, which differ in
+  no more bits than the texts differ in elements.
 
 Defined cases: a text of under five words has one shingle, all its words; a text without words (or
 null) is a class of its own; repeated rows and ids are fine, each row being in its text's class;
@@ -162,6 +164,20 @@ def _sign(shingle: int, k: int, bands: int):
     return run
 
 
+SKETCH = ["s0", "s1", "s2", "s3"]
+
+
+def sketches(element: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+    """For each text 256 bits in four words: bit i says if an odd number of its elements hash to i.
+
+    Each element that one of two texts has alone flips one bit, so where the sketches of two texts
+    differ in d bits, at least d elements are in one of them alone.
+    """
+    place = element >> np.uint64(56)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    return [np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == w, bit, np.uint64(0)), begins) for w in range(4)]
+
+
 def _elements(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +186,8 @@ def _elements(shingle: int):
                     continue
                 texts, owner, element, _ = elements(rows, hashes, shingle)
                 ends = np.concatenate(([0], np.cumsum(np.bincount(owner)))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(texts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(element.view(np.int64)))], ["node", "elements"])
+                parity = [pa.array(x.view(np.int64)) for x in sketches(element, ends[:-1])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(texts)), *parity, pa.ListArray.from_arrays(pa.array(ends), pa.array(element.view(np.int64)))], ["node", *SKETCH, "elements"])
 
     return run
 
@@ -202,20 +219,23 @@ def _prefix_pairs(rest: DataFrame, similarity: float) -> DataFrame:
     shared = materialize(each.groupBy("e").agg(F.count("*").alias("f")).where("f > 1"), "shared")
     # a text with too few shared shingles has no partner; those of one text alone come first in its order
     own = each.join(shared, "e").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("s"))
-    own = own.join(rest.select("node", "label", "n"), "node").where(F.size("s") >= similarity * F.col("n"))
+    own = own.join(rest.select("node", "label", "n", *SKETCH), "node").where(F.size("s") >= similarity * F.col("n"))
     alone = F.col("n") - F.size("s")
     reach = (F.col("n") - F.ceil(similarity * F.col("n")) + 1 - alone).cast("int")
-    first = own.where(reach >= 1).select("node", "label", "n", alone.alias("alone"), F.posexplode(F.slice("s", 1, reach)).alias("i", "x"))
-    first = materialize(first.select("node", "label", "n", (F.col("alone") + F.col("i")).alias("at"), F.col("x.e").alias("e")), "prefixes")
+    first = own.where(reach >= 1).select("node", "label", "n", *SKETCH, alone.alias("alone"), F.posexplode(F.slice("s", 1, reach)).alias("i", "x"))
+    first = materialize(first.select("node", "label", "n", *SKETCH, (F.col("alone") + F.col("i")).alias("at"), F.col("x.e").alias("e")), "prefixes")
     # under each shingle, texts of all labels but the most common one meet all others: the large group never meets itself
     by_label = first.groupBy("e", "label").agg(F.count("*").alias("c"))
     major = by_label.groupBy("e").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("e", F.col("m.label").alias("major"))
     major = materialize(major, "majors")
-    minor = first.join(major, "e").where("label != major").select("e", "node", "label", "n", "at")
+    minor = first.join(major, "e").where("label != major").select("e", "node", "label", "n", *SKETCH, "at", "major")
     x, y = minor.alias("x"), first.alias("y")
-    room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    fits = (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")) & (room >= F.ceil(similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6))
-    met = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.label") != F.col("y.label")) & fits)
+    room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # of the first shingle that both share, all others lie beyond it
+    least = F.ceil(similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6)
+    apart = [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH]
+    fits = (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")) & (room >= least) & (sum(apart[1:], apart[0]) <= F.col("x.n") + F.col("y.n") - 2 * least)
+    once = (F.col("y.label") == F.col("x.major")) | (F.col("x.node") < F.col("y.node"))  # two of the others meet both ways
+    met = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.label") != F.col("y.label")) & once & fits)
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
@@ -237,8 +257,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     wanted = live.select("node").distinct().join(nodes.select("node", "doc", "key", "n"), "node")
     # repeated rows give the same elements again
     texts = keyed.join(wanted, (keyed["doc"].eqNullSafe(wanted["doc"])) & (keyed["key"] == wanted["key"])).select("node", "text")
-    weighed = texts.mapInArrow(_elements(shingle), "node long, elements array<long>").dropDuplicates(["node"])
-    weighed = materialize(weighed.select("node", F.size("elements").cast("long").alias("n"), "elements"), "elements")
+    weighed = texts.mapInArrow(_elements(shingle), f"node long, {', '.join(f'{c} long' for c in SKETCH)}, elements array<long>").dropDuplicates(["node"])
+    weighed = materialize(weighed.select("node", *SKETCH, F.size("elements").cast("long").alias("n"), "elements"), "elements")
 
     links = materialize(_judged(_hub_pairs(live, weighed, similarity), weighed, similarity), "links")
     labels = components(links)

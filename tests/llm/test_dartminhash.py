@@ -93,6 +93,53 @@ def test_cloud_of_copies(spark):
     assert sorted(((g.doc, g.class_id) for g in got.collect()), key=str) == brute(rows)
 
 
+def test_texts_of_common_blocks(spark, monkeypatch):
+    """Texts of 5 of 14 blocks meet in many buckets, and few are similar: pairs don't grow with their square."""
+    pairs = {}
+    own = D._prefix_pairs
+
+    def counted(rest, similarity):
+        out = own(rest, similarity)
+        pairs[n] = out.count()
+        return out
+
+    monkeypatch.setattr(D, "_prefix_pairs", counted)
+    blocks = [" ".join(f"w{b}_{i}" for i in range(24)) for b in range(14)]
+    for n in (250, 1000):
+        r = random.Random(1)
+        rows = [(i, " ".join(r.sample(blocks, 5))) for i in range(n)]
+        got = D.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        if n == 250:
+            assert sorted(((g.doc, g.class_id) for g in got), key=str) == brute(rows)
+    assert all(found <= n for n, found in pairs.items()), pairs
+
+
+def test_sketches_never_overstate():
+    """Sketches differ in no more bits than the texts differ in elements, and in as many where few do."""
+    g = np.random.default_rng(5)
+    for n, gone, new in ((1, 0, 0), (5, 1, 1), (116, 10, 16), (116, 40, 40), (3000, 300, 30)):
+        a = g.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        b = np.concatenate((a[gone:], g.integers(0, 1 << 63, new, dtype=np.uint64)))
+        one, two = (D.sketches(x, np.array([0])) for x in (a, b))
+        differ = sum(int(x[0] ^ y[0]).bit_count() for x, y in zip(one, two, strict=True))
+        assert differ <= len(set(a.tolist()) ^ set(b.tolist())) and (gone + new > 50 or differ >= (gone + new) * 0.7 - 1)
+    both = D.sketches(np.concatenate((a, b)), np.array([0, len(a)]))
+    assert [int(x[0]) for x in both] == [int(x[0]) for x in one] and [int(x[1]) for x in both] == [int(x[0]) for x in two]
+
+
+def test_texts_longer_than_a_block(spark):
+    """Near copies of over a megabyte, which are hashed in several pieces, are one class; half a copy isn't."""
+    r = random.Random(9)
+    w = [f"word{r.randrange(10**5)}" for _ in range(150_000)]
+    near = list(w)
+    for _ in range(3000):
+        near[r.randrange(len(near))] = "changed"
+    rows = [(5, " ".join(w)), (6, " ".join(near)), (7, " ".join(w[: len(w) // 2])), (8, "\n".join(w)), (9, "short text")]
+    assert len(rows[0][1]) > D.W.BLOCK
+    got = {g.doc: g.class_id for g in D.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: 5, 6: 5, 7: 7, 8: 5, 9: 9}
+
+
 def test_agreement_is_the_weighted_similarity():
     r = random.Random(6)
     w = [f"a{i}" for i in range(300)]
