@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fathomline.schema import FIELDS, RECORD
+from fathomline.schema import FIELDS
 
 # What counts as a blank value, and the shapes of hashed ones.
 BLANK_VALUES = ("", "xxx")
@@ -91,11 +91,29 @@ def record_json(html_safe: bool = False, spaced: bool = False) -> Column:
     return out
 
 
+#: What a line is followed by when it is parsed: text after the object then makes the whole malformed.
+_END = "fathomline-end"
+
+
 def decoded(line: Column) -> Column:
-    """A record from a JSON line; field names match in any case, and what is missing or malformed is ''."""
-    names = F.from_json(line, "map<string,string>")
-    by_name = F.map_from_entries(
-        F.transform(F.array(*[F.lit(f) for f in FIELDS]), lambda f: F.struct(f, F.try_element_at(F.map_values(F.map_filter(names, lambda k, _: F.lower(k) == f)), F.lit(-1))))
-    )
-    exact = F.from_json(line, RECORD)
-    return F.struct(*[F.coalesce(exact[f], F.try_element_at(by_name, F.lit(f)), F.lit("")).alias(f) for f in FIELDS])
+    """A record from a JSON line, parsed once. Field names match in any case, an exact one first.
+
+    A field that is missing, null or no string is ''; so are all of a line that isn't one JSON
+    object and nothing else, or that has a name twice.
+    """
+    whole = F.try_parse_json(F.concat(F.lit("["), line, F.lit(f',"{_END}"]')))
+    ended = F.try_variant_get(whole, "$[1]", "string") == F.lit(_END)
+    entries = F.map_entries(F.when(ended, F.try_variant_get(whole, "$[0]", "map<string,variant>")))
+    texts = F.filter(entries, lambda x: F.lower(x["key"]).isin(*FIELDS) & (F.schema_of_variant(x["value"]) == "STRING"))
+
+    def record(named: Column) -> Column:
+        def value(f: str) -> Column:
+            own = F.filter(named, lambda x: F.lower(x["key"]) == f)
+            exact = F.filter(own, lambda x: x["key"] == f)
+            return F.coalesce(F.try_element_at(exact, F.lit(1))["value"], F.try_element_at(own, F.lit(-1))["value"], F.lit(""))
+
+        return F.struct(*[value(f).alias(f) for f in FIELDS])
+
+    # bound once for the row, so that four fields don't parse four times
+    named = F.transform(F.coalesce(texts, F.array().cast("array<struct<key:string,value:variant>>")), lambda x: F.struct(x["key"].alias("key"), x["value"].cast("string").alias("value")))
+    return F.element_at(F.transform(F.array(named), record), 1)

@@ -7,12 +7,18 @@ pushed-down filter that row-group statistics prune, and no second fetch is neede
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.exprs import digest48, le_encode48
 from fathomline.schema import FIELDS, check_key
 
+#: A lookup's digest column is named by this and its key, so that it can't be taken for another key's.
+DIGEST = "digest_"
 
 def index_build(records: DataFrame, key: str, offset: str = "offset") -> DataFrame:
     """(digest, offset) of every record; a missing value is indexed as ''."""
@@ -36,16 +42,42 @@ def sort_runs(index: DataFrame) -> DataFrame:
     return index.sortWithinPartitions("digest", "offset")
 
 
+def _inversions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = bad = 0
+    part = head = tail = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        digests = batch.column(0)
+        first = digests[0].as_py()
+        bad += int(tail is not None and tail > first) + (pc.sum(pc.greater(digests.slice(0, len(digests) - 1), digests.slice(1))).as_py() or 0)
+        part, head, tail, n = batch.column(1)[0].as_py(), first if head is None else head, digests[-1].as_py(), n + len(digests)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((part, pa.int32()), (n, pa.int64()), (bad, pa.int64()), (head, pa.int64()), (tail, pa.int64()))], ["part", "n", "bad", "head", "tail"])
+
+
+def buffers(placed: DataFrame, size: int) -> DataFrame:
+    """(buffer, entries, first, last) of an index with ``place`` from 1, as a reader takes it: ``size`` entries at a time, to its end."""
+    number = F.floor((F.col("place") - 1) / size).cast("long")
+    return placed.groupBy(number.alias("buffer")).agg(F.count("*").alias("entries"), F.min("digest").alias("first"), F.max("digest").alias("last"))
+
+
+def merge_runs(runs: list[DataFrame], partitions: int) -> DataFrame:
+    """Runs as one sorted index: each range takes its share of every run, in order."""
+    whole = runs[0]
+    for run in runs[1:]:
+        whole = whole.unionByName(run)
+    return sort_index(whole, partitions)
+
+
 def sort_check(index: DataFrame, position: str) -> DataFrame:
     """One row: entries, and how many come before a smaller digest, by their ``position``.
 
-    Neighbours are found by a range exchange on the position: within a partition by window, and at
-    the borders by comparing each partition's last entry with the next one's first.
+    One range exchange on the position and a sort within; a task looks at its entries as they
+    stream by, and the borders are compared by each partition's last entry and the next one's first.
     """
-    spread = index.select("digest", F.col(position).alias("p")).repartitionByRange(F.col("p")).withColumn("part", F.spark_partition_id())
-    near = Window.partitionBy("part").orderBy("p")
-    inside = spread.withColumn("before", F.lag("digest").over(near))
-    sums = inside.groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("before") > F.col("digest")).alias("bad"), F.min_by("digest", "p").alias("head"), F.max_by("digest", "p").alias("tail"))
+    spread = index.select("digest", F.col(position).alias("p")).repartitionByRange(F.col("p")).sortWithinPartitions("p")
+    sums = spread.select("digest", F.spark_partition_id().alias("part")).mapInArrow(_inversions, "part int, n long, bad long, head long, tail long")
     # one row a partition is left here
     joined = sums.withColumn("previous", F.lag("tail").over(Window.orderBy("part")))
     return joined.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), F.coalesce(F.sum(F.col("bad") + (F.col("previous") > F.col("head")).cast("long")), F.sum("bad"), F.lit(0)).alias("inversions"))
@@ -63,16 +95,21 @@ def encoded(index: DataFrame) -> DataFrame:
 def build_lookup(records: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
     """Records with the digest of their key, by digest and then by address, ready to be written."""
     check_key(key)
-    keyed = records.select(digest48(F.col(key)).alias("digest"), *FIELDS)
-    order = ["digest", "email", "password"]
+    keyed = records.select(digest48(F.col(key)).alias(DIGEST + key), *FIELDS)
+    order = [DIGEST + key, "email", "password"]
     # by address too, as many records share a domain
     spread = keyed.repartitionByRange(partitions, *order) if partitions else keyed.repartitionByRange(*order)
     return spread.sortWithinPartitions(*order)
 
 
 def write_lookup(records: DataFrame, key: str, path: str, partitions: int | None = None, mode: str = "errorifexists") -> None:
-    """Writes the lookup of a key as sorted Parquet with a Bloom filter on the key."""
-    build_lookup(records, key, partitions).write.mode(mode).option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
+    """Builds and writes the lookup of a key."""
+    save_lookup(build_lookup(records, key, partitions), key, path, mode)
+
+
+def save_lookup(lookup: DataFrame, key: str, path: str, mode: str = "errorifexists") -> None:
+    """Writes a lookup as sorted Parquet with a Bloom filter on the key."""
+    lookup.write.mode(mode).option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
 
 
 def read_lookup(spark: SparkSession, path: str) -> DataFrame:

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions.exprs import digest48
-from fathomline.schema import KEYS, check_key
+from fathomline.operators.index import DIGEST
+from fathomline.schema import FIELDS, KEYS, check_key
+from fathomline.sources import text
 
 
 def search(records: DataFrame, key: str, value: str) -> DataFrame:
-    """Records whose key equals the value, case and all. With a digest column both conditions are pushed down."""
+    """Records whose key equals the value, case and all.
+
+    In a lookup (which has the digest of the key that it was built for) both conditions are pushed
+    down; a lookup of another key is an error, not an empty answer.
+    """
     check_key(key)
     found = F.col(key) == F.lit(value)
-    if "digest" in records.columns:
-        found = (F.col("digest") == digest48(F.lit(value))) & found
+    indexed = [c for c in records.columns if c.startswith(DIGEST)]
+    if indexed and DIGEST + key not in indexed:
+        raise ValueError(f"{key} is not indexed; this is a lookup of {', '.join(c.removeprefix(DIGEST) for c in indexed)}")
+    if indexed:
+        found = (F.col(DIGEST + key) == digest48(F.lit(value))) & found
     return records.where(found)
 
 
@@ -41,6 +50,26 @@ def search_index(index: DataFrame, records: DataFrame, key: str, value: str) ->
     return records.join(hits, "offset").where(F.col(key) == F.lit(value))
 
 
+#: Hits up to this number are read one by one at their offsets; more are joined with a scan of the lines.
+POINT_READS = 1000
+
+
+def search_stored(spark: SparkSession, index_path: str, lines_path: str, key: str, value: str, most: int = POINT_READS) -> DataFrame:
+    """(offset, record) of a lookup in a stored, sorted index of offsets and the file of JSON lines that it tells of.
+
+    The digest is pushed down into the index, whose row groups it prunes. Few hits are then read at
+    their places, without a scan; of a value with more than ``most`` the lines are scanned and joined.
+    """
+    check_key(key)
+    hits = spark.read.parquet(index_path).where(F.col("digest") == digest48(F.lit(value))).select("offset")
+    few = [r["offset"] for r in hits.limit(most + 1).collect()]
+    if len(few) <= most:
+        rows = text.records_at(spark, lines_path, few)
+    else:
+        rows = text.records_with_offsets(spark, lines_path).join(hits, "offset").select("offset", *FIELDS)
+    return rows.where(F.col(key) == F.lit(value))
+
+
 def search_batch(records: DataFrame, values: DataFrame, key: str, column: str = "value") -> DataFrame:
     """Records whose key is among many values: one semi-join in place of a loop."""
     check_key(key)

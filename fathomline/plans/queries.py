@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import exprs as E
 from fathomline.operators import dedup, formats, index, results, search
 from fathomline.plans import pipeline
-from fathomline.schema import FIELDS, QuerySet
+from fathomline.plans.progress import Progress
+from fathomline.schema import FIELDS, QuerySet, ResultSet
 from fathomline.shared import materialize, shared_path
 from fathomline.sources import files, text
 from fathomline.streaming import incremental
@@ -73,6 +74,7 @@ def _text(df: DataFrame, label: str, column: str = "line", parts: int | None = N
 _SPACE = r"'^[\s\x{00a0}]+|[\s\x{00a0}]+$'"
 L = f"lines as (select o_orderkey as line_id, {_LINE.format(hash='sha256', bits='')} as line from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)"
 T = L + f", t as (select line_id, regexp_replace(line, {_SPACE}, '', 'g') as t from lines)"
+# The address pattern and, below, the shapes of hashed values, as the engine has them.
 _ADDRESS = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]{2,63}"
 
 
@@ -137,9 +139,23 @@ def _two_kinds(spark: SparkSession, sf: str) -> str:
     return path
 
 
-@_query("src_queue_skip_prefix", "select cast(0 as bigint) as lines")
+def _two_prefixes(spark: SparkSession, sf: str) -> str:
+    """A folder whose files begin with even- and odd-, by the lines that they have."""
+    path = shared_path(spark, "prefixes")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    for half, name in enumerate(("even", "odd")):
+        at = _text(lines(spark, sf).where(f"line_id % 2 = {half}"), name)
+        fs = fs_path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(fs_path(path))
+        for status in fs.listStatus(fs_path(at)):
+            if status.getPath().getName().startswith("part-"):
+                fs.rename(status.getPath(), fs_path(f"{path}/{name}-{status.getPath().getName()}"))
+    return path
+
+
+@_query("src_queue_skip_prefix", f"with {T} select t as line from t where line_id % 2 = 0")
 def src_queue_skip_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    return text.read_lines(spark, _text(lines(spark, sf), "prefix"), skip_prefix="part-").agg(F.count("*").alias("lines"))
+    return text.read_lines(spark, _two_prefixes(spark, sf), skip_prefix="odd-").select("line")
 
 
 @_query("src_queue_skip_suffix", _TRIMMED)
@@ -165,22 +181,42 @@ def src_jsonl_lines(spark: SparkSession, sf: str) -> DataFrame:
     return text.read_lines(spark, _json_path(spark, sf, "jsonl")).select("line")
 
 
-@_query("src_jsonl_records", f"with {R} select {_FOUR} from rec")
+# good, odd and broken JSON lines of the records, by the line's number
+_ODD_JSON = """case line_id % 9 when 0 then j when 1 then replace(j, '"email"', '"Email"') when 2 then concat(j, ' trailing')
+  when 3 then replace(j, '"email":"', '"email":5,"was":"') when 4 then replace(j, '"user":"', '"user":{"x":1},"was":"') when 5 then substr(j, 1, length(j) - 1)
+  when 6 then replace(j, '"password"', '"pass"') when 7 then replace(j, '"domain":"', '"domain":null,"was":"') else concat('[', j, ']') end"""
+_JSON = "to_json({'email': email, 'user': \"user\", 'domain': domain, 'password': password})"
+
+
+def _odd_json(spark: SparkSession, sf: str) -> DataFrame:
+    """(line_id, line): records as JSON, of which many are odd or broken."""
+    return records(spark, sf).select("line_id", E.record_json().alias("j")).select("line_id", F.expr(_ODD_JSON).alias("line"))
+
+
+def _decoded_sql(keep: str) -> str:
+    own = lambda f: f"""coalesce(case when l is null or json_type(l) <> 'OBJECT' then '' when json_type(l, '$.{f}') = 'VARCHAR' then json_extract_string(l, '$.{f}')
+ when json_type(l, '$.{f.title()}') = 'VARCHAR' then json_extract_string(l, '$.{f.title()}') end, '') as "{f}\""""
+    return f"with {R}, x as (select line_id, {_ODD_JSON} as x from (select line_id, cast({_JSON} as varchar) as j from rec)), o as (select line_id, case when json_valid(x) then x end as l from x) select {keep}{', '.join(own(f) for f in FIELDS)} from o"
+
+
+@_query("src_jsonl_records", _decoded_sql(""))
 def src_jsonl_records(spark: SparkSession, sf: str) -> DataFrame:
-    return text.read_records(spark, _json_path(spark, sf, "jsonl"))
+    return text.read_records(spark, _text(_odd_json(spark, sf), "odd-json"))
 
 
-@_query("src_split_ranges", f"with {T} select cast(count(*) as bigint) as lines from t")
+@_query("src_split_ranges", f"with {L} select cast(count(*) as bigint) as lines, cast(sum(strlen(line) + 1) as bigint) as bytes, cast(0 as bigint) as overlaps, cast(0 as bigint) as gaps from lines")
 def src_split_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    return text.splits(spark, _text(lines(spark, sf), "splits")).agg(F.sum("lines").alias("lines"))
+    """The ranges of several files: their lines and bytes, and where a range begins before or after the end of the one before."""
+    ranges = text.splits(spark, _text(lines(spark, sf), "splits"))
+    before = F.coalesce(F.lag(F.col("start") + F.col("length")).over(Window.partitionBy("file").orderBy("start")), F.lit(0))
+    each = ranges.select("lines", "length", "start", before.alias("end"))
+    return each.agg(F.sum("lines").alias("lines"), F.sum("length").alias("bytes"), F.count_if(F.col("start") < F.col("end")).alias("overlaps"), F.count_if(F.col("start") > F.col("end")).alias("gaps"))
 
 
-@_query("src_line_offset", f"with {L}, o as (select line_id, line, strlen(line) + 1 as n from lines) select cast(sum(n) over (order by line_id rows between unbounded preceding and 1 preceding) as bigint) as \"offset\", line from o")
+@_query("src_line_offset", f"with {L}, o as (select line_id, line, strlen(line) + 1 as n from lines) select cast(coalesce(sum(n) over (order by line_id rows between unbounded preceding and 1 preceding), 0) as bigint) as \"offset\", line from o")
 def src_line_offset(spark: SparkSession, sf: str) -> DataFrame:
     """Offsets in one file of the lines by id; the file is written by one task, as an offset is a place in one file."""
-    path = _text(lines(spark, sf).orderBy("line_id").coalesce(1), "offsets")
-    found = text.read_with_offsets(spark, path)
-    return found.select(F.when(F.col("offset") > 0, F.col("offset")).alias("offset"), "line")
+    return text.read_with_offsets(spark, _text(lines(spark, sf).orderBy("line_id").coalesce(1), "offsets")).select("offset", "line")
 
 
 def _index(spark: SparkSession, sf: str, key: str = "email") -> DataFrame:
@@ -198,7 +234,13 @@ def src_index_entries(spark: SparkSession, sf: str) -> DataFrame:
     return entries.select(E.le_decode48(F.substring(h, 1, 12)).alias("digest"), E.le_decode48(F.substring(h, 13, 12)).alias("offset"))
 
 
-_ONE = "customer.000000007@nation-3.example.com"
+#: A user that has records, and the address that comes first among all (as SQL, and fetched from the records).
+_USER = "customer.000000007"
+_FIRST = "(select min(email) from rec)"
+
+
+def _first(spark: SparkSession, sf: str) -> str:
+    return records(spark, sf).agg(F.min("email")).first()[0] or ""
 
 
 @_query("src_point_read", f"with {R} select {_FOUR} from rec where line_id = (select min(line_id) from rec)")
@@ -299,10 +341,10 @@ def sink_sorted_index(spark: SparkSession, sf: str) -> DataFrame:
 _EARLY = f"with {T}, e as (select distinct t as line from t where line_id % 2 = 0)"
 
 
-@_query("sink_filter_save", f"{_EARLY} select line from e")
+@_query("sink_filter_save", _DISTINCT)
 def sink_filter_save(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_path(spark, "seen")
-    dedup.save_seen(lines(spark, sf).where("line_id % 2 = 0"), path)
+    dedup.save_seen(lines(spark, sf), path)
     return spark.read.parquet(path)
 
 
@@ -448,8 +490,13 @@ def flt_field_count(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).where(F.size(formats.COLON.pieces(E.utrim(F.col("line")))) == 2).select("line_id")
 
 
-for _name, _key, _value in (("email", "email", _ONE), ("user", "user", _ONE.split("@")[0]), ("domain", "domain", _D), ("password", "password", "pw3")):
-    _query(f"flt_eq_{_name}", f"with {R} select line_id, {_FOUR} from rec where \"{_key}\" = '{_value}'")(lambda spark, sf, k=_key, v=_value: search.search(records(spark, sf), k, v))
+for _key, _value in (("user", _USER), ("domain", _D), ("password", "pw3")):
+    _query(f"flt_eq_{_key}", f"with {R} select line_id, {_FOUR} from rec where \"{_key}\" = '{_value}'")(lambda spark, sf, k=_key, v=_value: search.search(records(spark, sf), k, v))
+
+
+@_query("flt_eq_email", f"with {R} select line_id, {_FOUR} from rec where email = {_FIRST}")
+def flt_eq_email(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(records(spark, sf), "email", _first(spark, sf))
 
 
 @_query("flt_not_blank_pw", f"with {R} select line_id, password from rec where password not in ('', 'xxx')")
@@ -553,18 +600,15 @@ def index_count(spark: SparkSession, sf: str) -> DataFrame:
     return index.index_count(_index(spark, sf))
 
 
-@_query("sort_external", f"with {R}, i as ({_INDEX}) select row_number() over (order by digest, \"offset\") as place, digest, \"offset\" from i")
+_PLACED = f"with {R}, i as ({_INDEX}) select row_number() over (order by digest, \"offset\") as place, digest, \"offset\" from i"
+
+
+@_query("sort_external", _PLACED)
 def sort_external(spark: SparkSession, sf: str) -> DataFrame:
     """Sorted, written in ranges, and numbered by file and place: the order on disk."""
     path = shared_path(spark, "sorted")
     files.write_sorted_index(_index(spark, sf), path, 8)
-    rows = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_name")).withColumn("own", F.monotonically_increasing_id())
-    rows = materialize(rows, "placed")
-    sizes = rows.groupBy("file").agg(F.count("*").alias("n"), F.min("own").alias("first"))
-    from pyspark.sql import Window
-
-    starts = sizes.select("file", "first", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
-    return rows.join(starts, "file").select((F.col("own") - F.col("first") + F.col("before") + 1).alias("place"), "digest", "offset")
+    return pipeline.placed(spark, path)
 
 
 @_query("sort_run", f"with {R} {_INDEX}")
@@ -577,10 +621,25 @@ def sort_tape_create(spark: SparkSession, sf: str) -> DataFrame:
     return index.sort_runs(_index(spark, sf).repartition(6))
 
 
-@_query("sort_tape_prefetch", f"with {R} {_INDEX} order by 1, 2 limit 5000")
+_BUFFER = 4096
+
+
+@_query("sort_tape_prefetch", f"""with {R}, i as ({_INDEX}), p as (select row_number() over (order by digest, \"offset\") - 1 as k, digest from i)
+select cast(k // {_BUFFER} as bigint) as buffer, count(*) as entries, min(digest) as first, max(digest) as last from p group by 1""")
 def sort_tape_prefetch(spark: SparkSession, sf: str) -> DataFrame:
-    """The first entries of the order, as a reader would take them: a top-k report."""
-    return index.sort_index(_index(spark, sf)).limit(5000)
+    """The sorted index as a reader takes it, buffer by buffer to its end."""
+    return index.buffers(QUERIES["sort_external"](spark, sf), _BUFFER)
+
+
+@_query("sort_tape_pop", _PLACED)
+def sort_tape_pop(spark: SparkSession, sf: str) -> DataFrame:
+    """Three stored runs, popped in one order."""
+    whole, runs = _index(spark, sf), []
+    for k in range(3):
+        runs.append(materialize(index.sort_runs(whole.where(F.col("offset") % 3 == k)), "run"))
+    path = shared_path(spark, "popped")
+    index.merge_runs(runs, 8).write.parquet(path)
+    return pipeline.placed(spark, path)
 
 
 @_query("sort_kway_merge", f"with {R} {_INDEX} union all {_INDEX}")
@@ -602,10 +661,29 @@ def sort_check_unsorted(spark: SparkSession, sf: str) -> DataFrame:
     return index.sort_check(_index(spark, sf), "offset")
 
 
-@_query("sort_progress", f"with {R} select cast(count(*) as bigint) as entries, 100.0::double as merged from rec")
+@_query("sort_progress", f"with {R} select cast(count(*) as bigint) as entries, cast(count(*) as bigint) as written, 100.0 * count(*) / count(*) as merged from rec")
 def sort_progress(spark: SparkSession, sf: str) -> DataFrame:
-    done = index.index_count(index.sort_index(_index(spark, sf), partitions=4))
-    return done.select("entries", F.lit(100.0).alias("merged"))
+    """What a sort stage read and wrote, by its own observed counts."""
+    parts, path, progress = shared_path(spark, "parts"), shared_path(spark, "sorted"), Progress()
+    files.write_index_parts(_index(spark, sf), parts)
+    pipeline.sort_stage(spark, parts, path, 4, progress)
+    return spark.createDataFrame([(progress.rows("sort: read"), progress.rows("sort: merged"), progress.share("sort: merged", "sort: read"))], "entries long, written long, merged double")
+
+
+@_query(
+    "progress_reporters",
+    f"""with {T}, {_records_sql(':')}, c(point, n) as (select 'normalize: lines', count(*) from t where length(t) > 0 union all select 'normalize: records', count(*) from rec
+union all select 'dedup: lines', count(*) from rec union all select 'dedup: new', count(*) from (select distinct {_FOUR} from rec)
+union all select 'index: records', count(*) from (select distinct {_FOUR} from rec)) select point, cast(n as bigint) as rows from c""",
+)
+def progress_reporters(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that passed the points of three stages, observed as they ran."""
+    json, distinct, lookup = (shared_path(spark, x) for x in ("json", "distinct", "lookup"))
+    progress = Progress()
+    pipeline.normalize_stage(spark, _text(lines(spark, sf), "raw"), json, "colon-newline", progress=progress)
+    pipeline.dedup_stage(spark, json, distinct, progress=progress)
+    pipeline.index_stage(spark, distinct, lookup, "email", progress=progress)
+    return spark.createDataFrame([(point, counts["rows"]) for point, counts in progress.report().items()], "point string, rows long")
 
 
 # ---------------------------------------------------------------- 2.G scalar functions
@@ -641,10 +719,10 @@ def fn_json_encode(spark: SparkSession, sf: str) -> DataFrame:
     return records(spark, sf).select("line_id", E.record_json(html_safe=True).alias("value"))
 
 
-@_query("fn_json_decode", "select event_id, coalesce(json_extract_string(props, '$.email'), '') as email, coalesce(json_extract_string(props, '$.user'), '') as \"user\" from events")
+@_query("fn_json_decode", _decoded_sql("line_id, "))
 def fn_json_decode(spark: SparkSession, sf: str) -> DataFrame:
-    d = E.decoded(F.col("props"))
-    return table(spark, sf, "events").select("event_id", d["email"].alias("email"), d["user"].alias("user"))
+    d = E.decoded(F.col("line"))
+    return _odd_json(spark, sf).select("line_id", d.alias("r")).select("line_id", *[F.col(f"r.{f}").alias(f) for f in FIELDS])
 
 
 # ---------------------------------------------------------------- 2.H search
@@ -656,16 +734,26 @@ def _lookup(spark: SparkSession, sf: str, key: str) -> DataFrame:
     return index.read_lookup(spark, path)
 
 
+def _stored(spark: SparkSession, sf: str, key: str) -> tuple[str, str]:
+    """A sorted index of offsets and the file of JSON lines, ordered by id, that it tells of; both are on disk."""
+    held = _text(records(spark, sf).orderBy("line_id").select(E.record_json().alias("line")).coalesce(1), "json")
+    parts, path = shared_path(spark, "parts"), shared_path(spark, "sorted")
+    pipeline.offsets_stage(spark, held, parts, key)
+    pipeline.sort_stage(spark, parts, path, 8)
+    return path, held
+
+
 @_query("search_index", f"with {R} select {_FOUR} from rec where domain = '{_D}'")
 def search_index(spark: SparkSession, sf: str) -> DataFrame:
-    rows = records(spark, sf).withColumnRenamed("line_id", "offset")
-    return search.search_index(index.index_build(rows, "domain"), rows, "domain", _D).select(*FIELDS)
+    """Many hits: the stored index's offsets, joined with the lines."""
+    path, held = _stored(spark, sf, "domain")
+    return search.search_stored(spark, path, held, "domain", _D, most=10).select(*FIELDS)
 
 
-@_query("search_binary", f"with {R} select {_FOUR} from rec where email = '{_ONE}'")
+@_query("search_binary", f"with {R} select {_FOUR} from rec where email = {_FIRST}")
 def search_binary(spark: SparkSession, sf: str) -> DataFrame:
     """Through the sorted layout: both conditions reach the scan."""
-    return search.search(_lookup(spark, sf, "email"), "email", _ONE).select(*FIELDS)
+    return search.search(_lookup(spark, sf, "email"), "email", _first(spark, sf)).select(*FIELDS)
 
 
 @_query("search_run_expand", f"with {R} select {_FOUR} from rec where domain = '{_D}'")
@@ -673,19 +761,26 @@ def search_run_expand(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(_lookup(spark, sf, "domain"), "domain", _D).select(*FIELDS)
 
 
-@_query("search_fetch", f"with {R} select line_id as \"offset\", {_FOUR} from rec where \"user\" = '{_ONE.split('@')[0]}'")
+@_query("search_fetch", f"""with {R}, j as (select *, strlen(cast({_JSON} as varchar)) + 1 as n from rec),
+o as (select *, cast(coalesce(sum(n) over (order by line_id rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset" from j) select "offset", {_FOUR} from o where "user" = '{_USER}'""")
 def search_fetch(spark: SparkSession, sf: str) -> DataFrame:
-    rows = records(spark, sf).withColumnRenamed("line_id", "offset")
-    return search.search_index(index.index_build(rows, "user"), rows, "user", _ONE.split("@")[0]).select("offset", *FIELDS)
+    """Few hits: each line is read at its offset."""
+    path, held = _stored(spark, sf, "user")
+    return search.search_stored(spark, path, held, "user", _USER).select("offset", *FIELDS)
 
 
-for _key, _value, _f in (("email", _ONE, search.search_email), ("user", _ONE.split("@")[0], search.search_user), ("domain", _D, search.search_domain)):
+for _key, _value, _f in (("user", _USER, search.search_user), ("domain", _D, search.search_domain)):
     _query(f"search_{_key}", f"with {R} select {_FOUR} from rec where \"{_key}\" = '{_value}'")(lambda spark, sf, v=_value, f=_f: f(records(spark, sf), v).select(*FIELDS))
 
 
-@_query("search_sql", f"with {R} select email, password from rec where email = '{_ONE}'")
+@_query("search_email", f"with {R} select {_FOUR} from rec where email = {_FIRST}")
+def search_email(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search_email(records(spark, sf), _first(spark, sf)).select(*FIELDS)
+
+
+@_query("search_sql", f"with {R} select email, password from rec where email = {_FIRST}")
 def search_sql(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search_sql(records(spark, sf), "email", _ONE)
+    return search.search_sql(records(spark, sf), "email", _first(spark, sf))
 
 
 _VALUES = "values_ as (select lower(replace(c_name, '#', '.')) as value from customer where c_acctbal < 0)"
@@ -755,11 +850,11 @@ def page_server(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(spark, sf)
 
 
-@_query("page_footer", f"with {R}, {_HITS} select concat('Displaying page 1 of 2 (', count(*), ' total results)') as line from hits")
+@_query("page_footer", f"with {R}, {_HITS}, n as (select count(*) as c from hits) select concat('Displaying page ', least(2, ceil(c / 50.0))::bigint, ' of ', ceil(c / 50.0)::bigint, ' (', c, ' total results)') as line from n")
 def page_footer(spark: SparkSession, sf: str) -> DataFrame:
-    from fathomline.schema import ResultSet
-
-    return spark.createDataFrame([(results.footer(ResultSet(_hits(spark, sf).count(), 0, 1)),)], "line string")
+    """The footer of the second page of 50, as the paged handler answers it."""
+    found = results.handle_paged(records(spark, sf), QuerySet(domain=_D, page=1), size=50)
+    return spark.createDataFrame([(results.footer(found),)], "line string")
 
 
 @_query("row_number_display", f"with {R}, {_HITS} select row_number() over (order by email, password) as row, email, password from hits where password not in ('', 'xxx')")
@@ -799,7 +894,7 @@ def cli_bloom(spark: SparkSession, sf: str) -> DataFrame:
     return text.read_lines(spark, second).select("line")
 
 
-@_query("stage_index", f"with {R} select {_digest_sql('email')} as digest, {_FOUR} from rec")
+@_query("stage_index", f"with {R} select {_digest_sql('email')} as digest_email, {_FOUR} from rec")
 def stage_index(spark: SparkSession, sf: str) -> DataFrame:
     out = shared_path(spark, "lookup")
     pipeline.index_stage(spark, _json_path(spark, sf, "raw"), out, "email")
@@ -808,7 +903,11 @@ def stage_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("stage_sort", f"with {R} select cast(count(*) as bigint) as entries, cast(0 as bigint) as inversions from rec")
 def stage_sort(spark: SparkSession, sf: str) -> DataFrame:
-    return QUERIES["sort_check"](spark, sf)
+    """Stored parts, sorted by the stage, and checked in their order on disk."""
+    parts, out = shared_path(spark, "parts"), shared_path(spark, "sorted")
+    files.write_index_parts(_index(spark, sf), parts)
+    pipeline.sort_stage(spark, parts, out, 8)
+    return index.sort_check(pipeline.placed(spark, out), "place")
 
 
 @_query("cli_normalize", f"with {T}, {_records_sql(';')} select {_FOUR} from rec")
@@ -818,7 +917,18 @@ def cli_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return text.read_records(spark, out)
 
 
-@_query("cli_index", f"with {R} select {_digest_sql('domain')} as digest, {_FOUR} from rec")
+@_query("cli_overwrite", f"with {T}, {_records_sql(';')} select {_FOUR} from rec")
+def cli_overwrite(spark: SparkSession, sf: str) -> DataFrame:
+    """The command line's normalize, twice into one output: the second run replaces the first."""
+    from fathomline import cli
+
+    out = shared_path(spark, "normalized")
+    cli.main(["normalize", _text(lines(spark, sf), "raw"), "--output", out, "--format", "colon-newline"], spark)
+    cli.main(["normalize", _text(lines(spark, sf), "raw"), "--output", out, "--format", "semicolon-newline", "--overwrite"], spark)
+    return text.read_records(spark, out)
+
+
+@_query("cli_index", f"with {R} select {_digest_sql('domain')} as digest_domain, {_FOUR} from rec")
 def cli_index(spark: SparkSession, sf: str) -> DataFrame:
     from fathomline import cli
 
@@ -827,10 +937,15 @@ def cli_index(spark: SparkSession, sf: str) -> DataFrame:
     return index.read_lookup(spark, out)
 
 
-@_query("cli_sort", f"with {R}, i as ({_INDEX}) select row_number() over (order by digest, \"offset\") as place, digest, \"offset\" from i")
+@_query("cli_sort", _PLACED)
 def cli_sort(spark: SparkSession, sf: str) -> DataFrame:
-    """Sorting is part of writing an index; this is the order on disk."""
-    return QUERIES["sort_external"](spark, sf)
+    """The sort command over stored parts; the outcome is the order on disk."""
+    from fathomline import cli
+
+    parts, out = shared_path(spark, "parts"), shared_path(spark, "sorted")
+    files.write_index_parts(_index(spark, sf), parts)
+    cli.main(["sort", parts, "--output", out, "--partitions", "6"], spark)
+    return pipeline.placed(spark, out)
 
 
 @_query("cli_version", "select '0.1.0' as version")
@@ -840,9 +955,72 @@ def cli_version(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(__version__,)], "version string")
 
 
-@_query("cli_search", f"with {R} select email, password from rec where \"user\" = '{_ONE.split('@')[0]}'")
+@_query("cli_search", f"with {R} select email, password from rec where \"user\" = '{_USER}'")
 def cli_search(spark: SparkSession, sf: str) -> DataFrame:
-    return search.query_all(_lookup(spark, sf, "user"), "user", _ONE.split("@")[0])
+    return search.query_all(_lookup(spark, sf, "user"), "user", _USER)
+
+
+def _served(spark: SparkSession, sf: str, *queries: QuerySet, keys: tuple[str, ...] = ("email", "user", "domain"), paged: bool = False) -> list[dict]:
+    """What a client gets from a server with a lookup for each key; an error answer has its text as ``error``."""
+    import threading
+
+    from fathomline import server
+
+    at = server.made({k: _lookup(spark, sf, k) for k in keys}, port=0, paged=paged)
+    threading.Thread(target=at.serve_forever, daemon=True).start()
+    client, out = server.Client(f"http://127.0.0.1:{at.server_address[1]}/", token="t"), []
+    try:
+        for q in queries:
+            try:
+                out.append(client.query(q))
+            except ValueError as e:
+                out.append({"error": str(e)})
+    finally:
+        at.shutdown()
+    return out
+
+
+@_query("srv_start", f"""with {R}, k as (select 'email' as key, {_FIRST} as value union all select 'user', '{_USER}' union all select 'domain', '{_D}')
+select key, cast(count(*) as bigint) as count from k join rec on value = case key when 'email' then email when 'user' then "user" else domain end group by key""")
+def srv_start(spark: SparkSession, sf: str) -> DataFrame:
+    """One server, three lookups: each key is answered from its own."""
+    asked = [QuerySet(email=_first(spark, sf)), QuerySet(user=_USER), QuerySet(domain=_D)]
+    got = _served(spark, sf, *asked)
+    return spark.createDataFrame([(k, g["count"]) for k, g in zip(("email", "user", "domain"), got, strict=True)], "key string, count long")
+
+
+@_query("srv_missing_key", "select 'status 400: domain is not indexed; indexed: email, user' as error")
+def srv_missing_key(spark: SparkSession, sf: str) -> DataFrame:
+    """A key without a lookup is an error, not an empty answer."""
+    return spark.createDataFrame([(_served(spark, sf, QuerySet(domain=_D), keys=("email", "user"))[0]["error"],)], "error string")
+
+
+@_query("client_query", f"with {R} select email, password from rec where \"user\" = '{_USER}'")
+def client_query(spark: SparkSession, sf: str) -> DataFrame:
+    found = _served(spark, sf, QuerySet(user=_USER), keys=("user",))[0]
+    return spark.createDataFrame([(r["email"], r["password"]) for r in found["results"]], "email string, password string")
+
+
+@_query("client_cli", f"with {R} select concat(email, ':', password) as line from rec where \"user\" = '{_USER}'")
+def client_cli(spark: SparkSession, sf: str) -> DataFrame:
+    """The query command against a paged server; what it prints is read back."""
+    import contextlib
+    import io
+    import json
+    import threading
+
+    from fathomline import cli, server
+
+    at = server.made({"user": _lookup(spark, sf, "user")}, port=0, paged=True)
+    threading.Thread(target=at.serve_forever, daemon=True).start()
+    out = io.StringIO()
+    try:
+        with contextlib.redirect_stdout(out):
+            cli.main(["query", "user", _USER, "--url", f"http://127.0.0.1:{at.server_address[1]}/", "--json"])
+    finally:
+        at.shutdown()
+    found = ResultSet(**json.loads(out.getvalue()))
+    return spark.createDataFrame([(line,) for line in results.fetched_lines(found)], "line string")
 
 
 @_query("lambda_handler", f"with {R}, {_HITS} select email, password from (select *, row_number() over (order by email, password) as i from hits) where i <= 1000")

@@ -8,14 +8,15 @@ import urllib.error
 import urllib.request
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
-from pyspark.sql import DataFrame
-
-from fathomline.operators.results import answer
+from fathomline.operators.results import Records, answer
 from fathomline.schema import QuerySet
 
 
-def made(records: DataFrame, host: str = "127.0.0.1", port: int = 8888, paged: bool = False) -> ThreadingHTTPServer:
-    """A server that answers a JSON request at any path; GET requests and empty bodies are bad requests when paged."""
+def made(records: Records, host: str = "127.0.0.1", port: int = 8888, paged: bool = False, certificate: str | None = None, private_key: str | None = None) -> ThreadingHTTPServer:
+    """A server that answers a JSON request at any path, from one table or from a lookup for each key.
+
+    GET requests and empty bodies are bad requests when paged. With a certificate it speaks TLS.
+    """
 
     class Handler(BaseHTTPRequestHandler):
         def _do(self) -> None:
@@ -33,16 +34,16 @@ def made(records: DataFrame, host: str = "127.0.0.1", port: int = 8888, paged: b
         def log_message(self, *args) -> None:  # requests name people: nothing is logged
             pass
 
-    return ThreadingHTTPServer((host, port), Handler)
-
-
-def serve(records: DataFrame, host: str, port: int, paged: bool = False, certificate: str | None = None, private_key: str | None = None) -> None:
-    server = made(records, host, port, paged)
+    server = ThreadingHTTPServer((host, port), Handler)
     if certificate:
         context = ssl.SSLContext(ssl.PROTOCOL_TLS_SERVER)
         context.load_cert_chain(certificate, private_key)
         server.socket = context.wrap_socket(server.socket, server_side=True)
-    server.serve_forever()
+    return server
+
+
+def serve(records: Records, host: str, port: int, paged: bool = False, certificate: str | None = None, private_key: str | None = None) -> None:
+    made(records, host, port, paged, certificate, private_key).serve_forever()
 
 
 class Client:

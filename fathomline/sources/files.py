@@ -9,9 +9,11 @@ from fathomline.functions.exprs import le_decode48, record_json
 from fathomline.operators.index import encoded
 
 
-def write_records(records: DataFrame, path: str, append: bool = True, html_safe: bool = True) -> None:
-    """Compact JSON lines; an existing output is added to, or else an error."""
-    records.select(record_json(html_safe=html_safe).alias("value")).write.mode("append" if append else "errorifexists").text(path)
+def write_records(records: DataFrame, path: str, append: bool = True, html_safe: bool = True, overwrite: bool = False) -> None:
+    """Compact JSON lines; an existing output is added to, replaced if asked for, or else an error."""
+    if append and overwrite:
+        raise ValueError("append and overwrite exclude each other")
+    records.select(record_json(html_safe=html_safe).alias("value")).write.mode("append" if append else "overwrite" if overwrite else "errorifexists").text(path)
 
 
 def write_records_spaced(records: DataFrame, path: str, append: bool = False) -> None:
@@ -50,7 +52,8 @@ def entry_bytes(index: DataFrame) -> DataFrame:
 def export_entries(index: DataFrame, path: str) -> int:
     """Writes one flat file on the driver, entry by entry in digest order, for tools that read that form.
 
-    Rows stream through the driver a partition at a time; for large data keep the Parquet index.
+    For tools outside Spark alone: no query or stage uses it. Rows stream through the driver a partition
+    at a time; for large data keep the Parquet index.
     """
     ordered = index.orderBy("digest", "offset")
     n = 0

@@ -16,7 +16,7 @@ def read_raw(spark: SparkSession, path: str | list[str], recursive: bool = False
 
     Only files directly in a folder are read unless ``recursive``. Files are skipped by a prefix or
     suffix of their name, or of their whole path with ``whole_path``. Spark itself leaves out files
-    whose names begin with _ or a dot.
+    whose names begin with _ or a dot; ``left_out`` tells which.
     """
     rows = spark.read.option("lineSep", "\n").option("recursiveFileLookup", str(recursive).lower()).text(path)
     rows = rows.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"))
@@ -42,15 +42,56 @@ class Collected:
     errors: list[tuple[str, str]]
 
 
-def read_collecting_errors(spark: SparkSession, paths: list[str], **options) -> Collected:
-    """Reads what can be read; a path that can't be opened is noted, and the scan goes on."""
+def _files(spark: SparkSession, path: str, recursive: bool):
+    """(path, file system) of every file that a target has, hidden ones too; names are listed on the driver, as Spark does."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    todo = [at]
+    while todo:
+        for status in fs.listStatus(todo.pop()):
+            if status.isFile():
+                yield status.getPath(), fs
+            elif recursive:
+                todo.append(status.getPath())
+
+
+def left_out(spark: SparkSession, path: str, recursive: bool = False) -> list[str]:
+    """The files that a read of the path doesn't see, as their names begin with _ or a dot."""
+    return sorted(p.toString() for p, _ in _files(spark, path, recursive) if p.getName()[:1] in ("_", "."))
+
+
+def _opened(path, fs) -> None:
+    """Opens a file and reads its first byte, or raises."""
+    stream = fs.open(path)
+    try:
+        stream.read()
+    finally:
+        stream.close()
+
+
+def read_collecting_errors(spark: SparkSession, paths: list[str], recursive: bool = False, **options) -> Collected:
+    """Reads what can be read. A path that can't be listed, a file in a folder that can't be opened, and a
+    file that Spark leaves out by its name are noted, and the scan goes on with the others.
+    """
     good, errors = [], []
     for path in paths:
         try:
-            spark.read.text(path).schema  # noqa: B018  opens the path
-            good.append(path)
-        except Exception as e:  # noqa: BLE001  any failure to open is this path's own
-            errors.append((path, str(e).splitlines()[0]))
+            found = list(_files(spark, path, recursive))
+        except Exception as e:  # noqa: BLE001  any failure to list is this path's own
+            errors.append((path, str(e).strip().splitlines()[0]))
+            continue
+        for file, fs in found:
+            name = path if file.getName() == path.rstrip("/").rsplit("/", 1)[-1] and len(found) == 1 else file.toString()
+            if file.getName() in ("_SUCCESS",) or file.getName().endswith(".crc"):
+                continue
+            if file.getName()[:1] in ("_", "."):
+                errors.append((name, "left out, as its name begins with _ or a dot"))
+                continue
+            try:
+                _opened(file, fs)
+                good.append(file.toString())
+            except Exception as e:  # noqa: BLE001  any failure to open is this file's own
+                errors.append((name, str(e).strip().splitlines()[0]))
     return Collected(read_lines(spark, good, **options) if good else None, errors)
 
 
@@ -76,13 +117,35 @@ def records_with_offsets(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("offset", *[F.col(f"r.{f}").alias(f) for f in FIELDS])
 
 
+def records_at(spark: SparkSession, path: str, offsets: list[int]) -> DataFrame:
+    """(offset, record fields) of the lines that begin at a few given bytes of a file, each read at its place."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(at).isDirectory():  # a folder that one task wrote has one file
+        parts = [p for p, _ in _files(spark, path, False) if p.getName()[:1] not in ("_", ".")]
+        if len(parts) != 1:
+            raise ValueError(f"{path} has {len(parts)} files; an offset is a place in one file")
+        at = parts[0]
+    stream = fs.open(at)
+    rows = []
+    try:
+        for offset in offsets:
+            stream.seek(offset)
+            reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"), 1024)
+            rows.append((offset, reader.readLine()))
+    finally:
+        stream.close()
+    lines = spark.createDataFrame(rows, "offset long, line string").select("offset", decoded(F.col("line")).alias("r"))
+    return lines.select("offset", *[F.col(f"r.{f}").alias(f) for f in FIELDS])
+
+
 def line_counts_by_file(lines: DataFrame) -> DataFrame:
     """(file, lines)."""
     return lines.groupBy("file").agg(F.count("*").alias("lines"))
 
 
 def splits(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """(file, start, length, lines): the byte ranges that tasks read a path in; each line is in one."""
+    """(file, start, length, lines): the byte ranges that tasks read a path in; each line is in one. Ranges without a line are left out."""
     rows = spark.read.option("lineSep", "\n").option("recursiveFileLookup", str(recursive).lower()).text(path)
     m = "_metadata."
     return rows.groupBy(F.col(m + "file_path").alias("file"), F.col(m + "file_block_start").alias("start"), F.col(m + "file_block_length").alias("length")).agg(F.count("*").alias("lines"))

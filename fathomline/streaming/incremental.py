@@ -10,6 +10,9 @@ from fathomline.functions.exprs import utrim
 from fathomline.operators.formats import normalize
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def arriving_lines(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     """Trimmed lines of files as they come into a folder."""
     rows = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", max_files).text(folder)
@@ -27,6 +30,10 @@ def distinct_within(events: DataFrame, keys: list[str], time: str, delay: str) -
 
 
 def start(lines: DataFrame, output: str, checkpoint: str, format: str | None = None) -> StreamingQuery:
-    """Writes distinct lines (or their records) as Parquet, exactly once, until all that is there is done."""
+    """Writes distinct lines (or their records) as Parquet, exactly once, until all that is there is done.
+
+    Every line ever seen is state, so it is kept in RocksDB on the executors' disks rather than in their heaps.
+    """
+    lines.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     out = normalize(distinct_stream(lines), format) if format else distinct_stream(lines)
     return out.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -1,7 +1,11 @@
 import hashlib
 import json
+import shutil
+import subprocess
 import threading
+import urllib.error
 import urllib.request
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +14,7 @@ from fathomline import cli, shared
 from fathomline.functions import exprs as E
 from fathomline.operators import dedup, formats, index, results, search
 from fathomline.plans import pipeline
+from fathomline.plans.progress import Progress
 from fathomline.schema import RECORD, QuerySet, ResultSet
 from fathomline.server import Client, made
 from fathomline.sources import files, text
@@ -79,8 +84,9 @@ def test_json(spark):
     plain, safe, spaced = one.select(E.record_json(), E.record_json(html_safe=True), E.record_json(spaced=True)).first()
     assert json.loads(plain) == json.loads(safe) == json.loads(spaced) and "\\u003c\\u0026\\u003e" in safe and '", "user": "a"' in spaced
     raw = [plain, '{"EMAIL":"x","Password":"y"}', "not json", "{}", '{"email":5}', "[1]", '{"email":null,"user":"u"}']
+    raw += ['{"email":"z"} trailing', '{"email":"z"}{"email":"y"}', '{"domain":{"x":1},"user":"u"}', '{"email":"a","email":"b"}', '{"Email":"a","email":"b"}', '{"email":"z"', '{"email":["z"],"password":"p\\u00e9\\n"}', '{"email":"z"}]']
     back = [tuple(r[0]) for r in lines(spark, raw).select(E.decoded(F.col("line"))).collect()]
-    assert back == [("a@b.co", "a", "b.co", 'q"<&>\\é'), ("x", "", "", "y"), ("",) * 4, ("",) * 4, ("5", "", "", ""), ("",) * 4, ("", "u", "", "")]
+    assert back == [("a@b.co", "a", "b.co", 'q"<&>\\é'), ("x", "", "", "y"), ("",) * 4, ("",) * 4, ("",) * 4, ("",) * 4, ("", "u", "", ""), ("",) * 4, ("",) * 4, ("", "u", "", ""), ("",) * 4, ("b", "", "", ""), ("",) * 4, ("", "", "", "p\u00e9\n"), ("",) * 4]
 
 
 def test_sources(spark, tmp_path):
@@ -149,9 +155,11 @@ def test_search(spark, people, tmp_path):
     lookup = index.read_lookup(spark, str(tmp_path / "d"))
     wanted = got(people.where("domain = 'd1.org'"))
     found = search.search(lookup, "domain", "d1.org")
-    assert got(found.drop("digest")) == wanted
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(digest" in plan and "EqualTo(domain,d1.org)" in plan
+    assert got(found.drop("digest_domain")) == wanted
+    spark.conf.set("spark.sql.maxMetadataStringLength", 500)  # filters are shown whole
+    plan = search.search(lookup, "domain", "d1.org")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(digest_domain" in plan and "EqualTo(domain,d1.org)" in plan
     held = people.withColumn("offset", F.monotonically_increasing_id())
     assert got(search.search_index(index.index_build(held, "domain"), held, "domain", "d1.org").drop("offset")) == wanted
     assert got(search.search_sql(people, "domain", "d1.org")) == got(people.where("domain = 'd1.org'").select("email", "password"))
@@ -161,6 +169,109 @@ def test_search(spark, people, tmp_path):
         search.search(people, "name", "x")
 
 
+def test_a_lookup_answers_for_its_own_key_alone(spark, people, tmp_path):
+    lookups = {}
+    for key in ("email", "user", "domain"):
+        index.write_lookup(people, key, str(tmp_path / key), partitions=2)
+        lookups[key] = index.read_lookup(spark, str(tmp_path / key))
+    asked = {"email": "foo@bar.com", "user": "foo2", "domain": "d1.org"}
+    for built, lookup in lookups.items():
+        for key, value in asked.items():
+            if key == built:
+                assert search.search(lookup, key, value).count() == people.where(F.col(key) == value).count() > 0
+            else:
+                with pytest.raises(ValueError, match=f"{key} is not indexed"):
+                    search.search(lookup, key, value)
+    for key, value in asked.items():
+        status, body = results.answer(lookups, json.dumps({key: value}))
+        assert status == 200 and json.loads(body)["count"] == people.where(F.col(key) == value).count()
+    del lookups["user"]
+    for paged in (False, True):
+        status, body = results.answer(lookups, '{"user": "foo"}', paged)
+        assert status == 400 and "user is not indexed" in body
+
+
+def test_answers_are_bounded(people):
+    with pytest.raises(ValueError, match="by pages"):
+        results.handle(people, QuerySet(domain="d1.org"), most=5)
+    one = people.where("domain = 'd1.org'").select("email", "password")
+    with pytest.raises(Exception, match="by pages"):
+        results.result_json(one, most=5).collect()
+    assert json.loads(results.result_json(one, most=one.count()).first()[0])["count"] == one.count()
+
+
+def test_stored_index_of_offsets(spark, people, tmp_path, capsys):
+    """Entries on disk, sorted by the command, then lines at their offsets, by point reads and by a join."""
+    files.write_records(people.coalesce(1), str(tmp_path / "j"))
+    run = lambda *a: cli.main([str(x) for x in a], spark)
+    run("index", tmp_path / "j", "--output", tmp_path / "parts", "--key", "domain", "--offsets")
+    run("sort", tmp_path / "parts", "--output", tmp_path / "sorted", "--partitions", 3, "--progress")
+    assert f"sort: merged: rows {people.count()}" in capsys.readouterr().err
+    assert index.is_sorted(pipeline.placed(spark, str(tmp_path / "sorted")), "place")
+    wanted = got(people.where("domain = 'd1.org'"))
+    for most in (1000, 2):
+        found = search.search_stored(spark, str(tmp_path / "sorted"), str(tmp_path / "j"), "domain", "d1.org", most)
+        assert got(found.drop("offset")) == wanted
+    assert search.search_stored(spark, str(tmp_path / "sorted"), str(tmp_path / "j"), "domain", "none").count() == 0
+    run("search", tmp_path / "sorted", "domain", "d1.org", "--lines", tmp_path / "j", "--json")
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["count"] == len(wanted)
+
+
+def test_overwrite_and_saved_lines(spark, tmp_path):
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.txt").write_text("a@b.co:1\nb@b.co:2\n")
+    run = lambda *a: cli.main([str(x) for x in a], spark)
+    for flags, n in (([], 2), ([], 4), (["--overwrite"], 2), (["--overwrite"], 2)):
+        run("normalize", tmp_path / "one", "--output", tmp_path / "json", *flags)
+        assert text.read_records(spark, str(tmp_path / "json")).count() == n
+    with pytest.raises(ValueError):
+        files.write_records(text.read_records(spark, str(tmp_path / "json")), "x", append=True, overwrite=True)
+    # a run saves what it emits, not what the output had before
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "x.txt").write_text("earlier\n")
+    pipeline.dedup_stage(spark, str(tmp_path / "one"), str(tmp_path / "old"), append=True, save=str(tmp_path / "seen"))
+    assert got(spark.read.parquet(str(tmp_path / "seen"))) == [("a@b.co:1",), ("b@b.co:2",)]
+    assert text.read_lines(spark, str(tmp_path / "old")).count() == 3
+
+
+def test_progress(spark):
+    p = Progress()
+    rows = p.watch(spark.range(100), "all", even=F.count_if(F.col("id") % 2 == 0))
+    kept = p.watch(rows.where("id < 30"), "kept")
+    assert kept.count() == 30
+    assert p.report() == {"all": {"rows": 100, "even": 50}, "kept": {"rows": 30}} and p.share("kept", "all") == 30.0
+    p.note("none", 0)
+    assert p.share("kept", "none") == 100.0 and "kept: rows 30" in p.lines()
+    with pytest.raises(ValueError):
+        p.watch(rows, "all")
+
+
+def test_files_that_are_left_out(spark, tmp_path):
+    for name in ("y.txt", "_x.txt", ".h.txt"):
+        (tmp_path / name).write_text(f"line of {name}\n")
+    assert [p.rsplit("/", 1)[-1] for p in text.left_out(spark, str(tmp_path))] == [".h.txt", "_x.txt"]
+    some = text.read_collecting_errors(spark, [str(tmp_path)])
+    assert [r.line for r in some.lines.collect()] == ["line of y.txt"]
+    assert sorted(p.rsplit("/", 1)[-1] for p, _ in some.errors) == [".h.txt", "_x.txt"]
+
+
+def test_shared_folder_on_a_cluster(monkeypatch, spark):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session())
+
+
 def test_pages(spark):
     rows = spark.createDataFrame([(f"e{i:04d}@x.org", f"e{i:04d}", "x.org", "p") for i in range(2500)], RECORD)
     sizes = {p: (lambda r: (r.page, r.pages, len(r.results), r.count))(results.handle_paged(rows, QuerySet(domain="x.org", page=p))) for p in (-1, 0, 999)}
@@ -218,6 +329,52 @@ def test_whole_run_and_command_line(spark, tmp_path, capsys):
         pipeline.curate(spark, pipeline.Curation("a", "b", ("password",)))
 
 
+@pytest.mark.skipif(not shutil.which("openssl"), reason="openssl makes the certificate")
+def test_tls(people, tmp_path):
+    key, certificate = str(tmp_path / "key.pem"), str(tmp_path / "cert.pem")
+    subprocess.run(["openssl", "req", "-x509", "-newkey", "rsa:2048", "-nodes", "-keyout", key, "-out", certificate, "-days", "1", "-subj", "/CN=localhost"], check=True, capture_output=True)
+    server = made(people, port=0, certificate=certificate, private_key=key)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"https://127.0.0.1:{server.server_address[1]}/"
+    assert Client(url, verify=False).query(QuerySet(user="foo"))["count"] == 1
+    with pytest.raises(urllib.error.URLError, match="(?i)certificate"):
+        Client(url).query(QuerySet(user="foo"))
+    server.shutdown()
+
+
+def test_proxy_and_client_command(people, tmp_path, capsys):
+    server = made(people, port=0)
+    seen = []
+
+    class Forward(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            seen.append((self.path, self.headers["x-api-key"]))
+            with urllib.request.urlopen(urllib.request.Request(self.path, body, method="POST")) as found:
+                data = found.read()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *a):
+            pass
+
+    proxy = ThreadingHTTPServer(("127.0.0.1", 0), Forward)
+    for s in (server, proxy):
+        threading.Thread(target=s.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_address[1]}/"
+    through = f"http://127.0.0.1:{proxy.server_address[1]}"
+    assert cli.main(["query", "domain", "d1.org", "--url", url, "--proxy", through, "--token", "t", "--timeout", "20", "--no-empty", "--no-hashes", "--password-only", "--save", str(tmp_path / "out")]) == 0
+    assert seen == [(url, "t")]
+    wanted = ["pw"] * people.where("domain = 'd1.org' and password = 'pw'").count()
+    assert capsys.readouterr().out.split() == wanted and (tmp_path / "out").read_text().split() == wanted
+    assert cli.main(["query", "user", "foo", "--url", url, "--json"]) == 0
+    assert json.loads(capsys.readouterr().out)["results"] == [{"email": "foo@bar.com", "password": "hunter2"}]
+    for s in (server, proxy):
+        s.shutdown()
+
+
 def test_server_and_client(people):
     for paged in (False, True):
         server = made(people, port=0, paged=paged)
