@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -52,7 +53,15 @@ def test_pieces(spark):
         docs.setdefault(p.doc_id, []).append((p.start, ids, p.doc_tokens))
     assert set(docs) == set(wanted)
     for i, pieces in docs.items():
-        if len(wanted[i]) == 1:
+        if len(wanted[i]) > 1:  # repeated rows have pieces each
+            each = Counter()
+            for ids in wanted[i]:
+                at = 0
+                for n in lengths(len(ids), 4096):
+                    each[at, tuple(ids[at : at + n]), len(ids)] += 1
+                    at += n
+            assert Counter((a, tuple(x), n) for a, x, n in pieces) == each
+        else:
             pieces.sort()
             assert sum((x for _, x, _ in pieces), []) == wanted[i][0]
             assert [s for s, _, _ in pieces] == [sum(len(x) for _, x, _ in pieces[:k]) for k in range(len(pieces))]

@@ -76,3 +76,15 @@ def test_clashing_columns_and_empty_table(spark):
     got = {r.doc_id: r for r in remove_repeats(docs, window=3, inner=2).collect()}
     assert got[1].dedup.n_removed == 0 and got[2].dedup.n_removed == 3 and got[2].anchor == 6 and got[2].dedup.kept == ""
     assert remove_repeats(docs.limit(0), window=3, inner=2).count() == 0
+
+
+def test_whole_texts_over_block_borders(spark):
+    """Texts of over a block, parts of which repeat across its borders, and many copies of one row."""
+    r = random.Random(12)
+    long = [f"w{r.randrange(10**6)}" for _ in range(220_000)]
+    assert len(" ".join(long)) > W.BLOCK
+    middle = [f"z{r.randrange(10**6)}" for _ in range(300)]
+    rows = [(5, " ".join(long)), (9, " ".join(middle + long[100_000:190_000] + middle)), (2, " ".join(long[130_000:130_060]))]
+    rows += [(11, " ".join(middle[10:200]))] * 200
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), window=50).collect()
+    assert sorted([(g.doc_id, g.dedup.n_words, g.dedup.n_removed, g.dedup.kept_sha256) for g in got], key=str) == brute(rows, 50)
