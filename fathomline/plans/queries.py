@@ -917,6 +917,20 @@ def cli_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return text.read_records(spark, out)
 
 
+_SQUASHED = {"colon": ":", "semicolon": ";", "whitespace": "[ \t]+"}
+
+
+@_query("py_cli", f"with {T}, " + ", ".join(_records_sql(d, False).replace("rec as", f"{f} as", 1) for f, d in _SQUASHED.items()) + " " + " union all ".join(f"select {_FOUR} from {f}" for f in _SQUASHED))
+def py_cli(spark: SparkSession, sf: str) -> DataFrame:
+    """The command in the dialects that join further fields: each adds its records to one output."""
+    from fathomline import cli
+
+    raw, out = _text(lines(spark, sf), "raw"), shared_path(spark, "normalized")
+    for format in _SQUASHED:
+        cli.main(["normalize", raw, "--output", out, "--format", format, "--recursive", "--skip-prefix", "#", "--skip-suffix", ".idx"], spark)
+    return text.read_records(spark, out)
+
+
 @_query("cli_overwrite", f"with {T}, {_records_sql(';')} select {_FOUR} from rec")
 def cli_overwrite(spark: SparkSession, sf: str) -> DataFrame:
     """The command line's normalize, twice into one output: the second run replaces the first."""
@@ -960,15 +974,19 @@ def cli_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.query_all(_lookup(spark, sf, "user"), "user", _USER)
 
 
-def _served(spark: SparkSession, sf: str, *queries: QuerySet, keys: tuple[str, ...] = ("email", "user", "domain"), paged: bool = False) -> list[dict]:
-    """What a client gets from a server with a lookup for each key; an error answer has its text as ``error``."""
+def _served(spark: SparkSession, sf: str, *queries: QuerySet, keys: tuple[str, ...] = ("email", "user", "domain"), paged: bool = False, behind: str | None = None) -> list[dict]:
+    """What a client gets from a server with a lookup for each key; an error answer has its text as ``error``.
+
+    With ``behind`` the client asks for that URL and takes the server, which answers any path, as its proxy.
+    """
     import threading
 
     from fathomline import server
 
     at = server.made({k: _lookup(spark, sf, k) for k in keys}, port=0, paged=paged)
     threading.Thread(target=at.serve_forever, daemon=True).start()
-    client, out = server.Client(f"http://127.0.0.1:{at.server_address[1]}/", token="t"), []
+    url = f"http://127.0.0.1:{at.server_address[1]}/"
+    client, out = server.Client(behind or url, token="t", timeout=60, verify=not behind, proxy=url if behind else None), []
     try:
         for q in queries:
             try:
@@ -1001,6 +1019,13 @@ def client_query(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(r["email"], r["password"]) for r in found["results"]], "email string, password string")
 
 
+@_query("client_new", f"with {R} select email, password from rec where \"user\" = '{_USER}'")
+def client_new(spark: SparkSession, sf: str) -> DataFrame:
+    """A client with a time limit that takes any certificate and asks an unknown host through a proxy."""
+    found = _served(spark, sf, QuerySet(user=_USER), keys=("user",), behind="http://records.invalid/")[0]
+    return spark.createDataFrame([(r["email"], r["password"]) for r in found["results"]], "email string, password string")
+
+
 @_query("client_cli", f"with {R} select concat(email, ':', password) as line from rec where \"user\" = '{_USER}'")
 def client_cli(spark: SparkSession, sf: str) -> DataFrame:
     """The query command against a paged server; what it prints is read back."""
