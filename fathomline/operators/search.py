@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.exprs import digest48
 from fathomline.operators.index import DIGEST
-from fathomline.schema import FIELDS, KEYS, check_key
+from fathomline.schema import KEYS, check_key
 from fathomline.sources import text
 
 
@@ -66,7 +66,7 @@ def search_stored(spark: SparkSession, index_path: str, lines_path: str, key: st
     if len(few) <= most:
         rows = text.records_at(spark, lines_path, few)
     else:
-        rows = text.records_with_offsets(spark, lines_path).join(hits, "offset").select("offset", *FIELDS)
+        rows = text.records_with_offsets(spark, lines_path, only=hits)
     return rows.where(F.col(key) == F.lit(value))
 
 

@@ -86,12 +86,12 @@ def sort_stage(spark: SparkSession, parts: str, output: str, partitions: int = 2
 
 def placed(spark: SparkSession, path: str) -> DataFrame:
     """(place, digest, offset) of a sorted index as it lies on disk: by file name, then by row in the file."""
-    rows = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_name")).withColumn("row", F.monotonically_increasing_id())
-    rows = materialize(rows, "placed")
-    sizes = rows.groupBy("file").agg(F.count("*").alias("n"), F.min("row").alias("first"))
-    # one row a file is left here
-    starts = sizes.select("file", "first", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
-    return rows.join(starts, "file").select((F.col("row") - F.col("first") + F.col("before") + 1).alias("place"), "digest", "offset")
+    rows = spark.read.parquet(path).select("digest", "offset", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    sizes = rows.groupBy("file").agg(F.count("*").alias("n"))
+    # one row a file is left here; the numbers in names have five digits or more
+    order = Window.orderBy(F.length("file"), "file")
+    starts = sizes.select("file", (F.sum("n").over(order) - F.col("n")).alias("before"))
+    return rows.join(starts, "file").select((F.col("row") + F.col("before") + 1).alias("place"), "digest", "offset")
 
 
 def curate(spark: SparkSession, plan: Curation) -> Curated:

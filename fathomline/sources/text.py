@@ -111,10 +111,19 @@ def read_with_offsets(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pairs, "offset long, line string")
 
 
-def records_with_offsets(spark: SparkSession, path: str) -> DataFrame:
-    """(offset, record fields) of a file of JSON lines."""
-    rows = read_with_offsets(spark, path).select("offset", decoded(F.col("line")).alias("r"))
-    return rows.select("offset", *[F.col(f"r.{f}").alias(f) for f in FIELDS])
+def _decoded_lines(rows: DataFrame) -> DataFrame:
+    """(offset, record fields) of (offset, line)."""
+    return rows.select("offset", decoded(F.col("line")).alias("r")).select("offset", *[F.col(f"r.{f}").alias(f) for f in FIELDS])
+
+
+def records_with_offsets(spark: SparkSession, path: str, only: DataFrame | None = None) -> DataFrame:
+    """(offset, record fields) of a file of JSON lines, or of its lines at the offsets of ``only``; no others are parsed."""
+    rows = read_with_offsets(spark, path)
+    if only is not None:
+        rows = rows.join(only.select("offset"), "offset")
+        # a running number keeps conditions on the fields above the join; below it, all lines would be parsed
+        rows = rows.select("offset", F.when(F.monotonically_increasing_id() >= 0, F.col("line")).alias("line"))
+    return _decoded_lines(rows)
 
 
 def records_at(spark: SparkSession, path: str, offsets: list[int]) -> DataFrame:
@@ -135,8 +144,7 @@ def records_at(spark: SparkSession, path: str, offsets: list[int]) -> DataFrame:
             rows.append((offset, reader.readLine()))
     finally:
         stream.close()
-    lines = spark.createDataFrame(rows, "offset long, line string").select("offset", decoded(F.col("line")).alias("r"))
-    return lines.select("offset", *[F.col(f"r.{f}").alias(f) for f in FIELDS])
+    return _decoded_lines(spark.createDataFrame(rows, "offset long, line string"))
 
 
 def line_counts_by_file(lines: DataFrame) -> DataFrame:

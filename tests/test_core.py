@@ -390,6 +390,32 @@ def test_server_and_client(people):
         server.shutdown()
 
 
+def test_places_in_files_that_are_split(spark, tmp_path):
+    path = str(tmp_path / "sorted")
+    rows = spark.range(40000).select((F.col("id") * 7919 % 40009).alias("digest"), F.col("id").alias("offset"))
+    index.sort_index(rows, 3).write.option("parquet.block.size", 1024).option("parquet.page.row.count.limit", 500).option("parquet.block.row.count.limit", 1000).parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert spark.read.parquet(path).rdd.getNumPartitions() > 3
+        found = got(pipeline.placed(spark, path).select("place", "digest"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == list(enumerate(sorted(i * 7919 % 40009 for i in range(40000)), 1))
+
+
+def test_few_and_many_hits_of_a_stored_index(spark, tmp_path):
+    lines_, parts, path = (str(tmp_path / x) for x in ("lines", "parts", "sorted"))
+    rows = [(json.dumps({"email": f"u{i}@d{i % 3}.org", "user": f"u{i}", "domain": f"d{i % 3}.org", "password": str(i)}),) for i in range(60)]
+    spark.createDataFrame(rows, "value string").coalesce(1).write.text(lines_)
+    pipeline.offsets_stage(spark, lines_, parts, "domain")
+    pipeline.sort_stage(spark, parts, path, 2)
+    few, many = (search.search_stored(spark, path, lines_, "domain", "d1.org", most=n) for n in (100, 5))
+    assert got(few) == got(many) and got(many.select("password")) == sorted((str(i),) for i in range(1, 60, 3))
+    tree = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "parseJson" not in tree[tree.index("Join Inner") + tree[tree.index("Join Inner"):].index("\n") :]
+
+
 def test_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
