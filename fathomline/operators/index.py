@@ -80,7 +80,8 @@ def sort_check(index: DataFrame, position: str) -> DataFrame:
     sums = spread.select("digest", F.spark_partition_id().alias("part")).mapInArrow(_inversions, "part int, n long, bad long, head long, tail long")
     # one row a partition is left here
     joined = sums.withColumn("previous", F.lag("tail").over(Window.orderBy("part")))
-    return joined.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), F.coalesce(F.sum(F.col("bad") + (F.col("previous") > F.col("head")).cast("long")), F.sum("bad"), F.lit(0)).alias("inversions"))
+    border = F.coalesce((F.col("previous") > F.col("head")).cast("long"), F.lit(0))  # the first partition has none before it
+    return joined.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), F.coalesce(F.sum(F.col("bad") + border), F.lit(0)).alias("inversions"))
 
 
 def is_sorted(index: DataFrame, position: str) -> bool:

@@ -150,6 +150,20 @@ def test_index(spark, people, tmp_path):
     assert got(spark.read.parquet(str(tmp_path / "merged"))) == got(index.index_build(held, "email"))
 
 
+def test_sort_check_over_several_ranges(spark):
+    """Inversions within the first range, within later ones and at their borders all count."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        falling = spark.range(40).select((-F.col("id")).alias("digest"), F.col("id").alias("p"))
+        assert tuple(index.sort_check(falling, "p").first()) == (40, 39)
+        first = falling.select(F.when(F.col("p") < 2, F.col("digest")).otherwise(F.col("p")).alias("digest"), "p")
+        assert tuple(index.sort_check(first, "p").first()) == (40, 1) and not index.is_sorted(first, "p")
+        assert index.is_sorted(falling.select(F.col("p").alias("digest"), "p"), "p")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_search(spark, people, tmp_path):
     index.write_lookup(people, "domain", str(tmp_path / "d"), partitions=3)
     lookup = index.read_lookup(spark, str(tmp_path / "d"))
