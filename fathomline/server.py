@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import shutil
 import ssl
+import tempfile
 import urllib.error
 import urllib.request
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
-from fathomline.operators.results import Records, answer
+from fathomline.operators.results import Records, write_answer
 from fathomline.schema import QuerySet
 
 
@@ -21,13 +23,18 @@ def made(records: Records, host: str = "127.0.0.1", port: int = 8888, paged: boo
     class Handler(BaseHTTPRequestHandler):
         def _do(self) -> None:
             body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
-            status, out = (400, json.dumps({"error": "send a POST request with a body"})) if paged and (self.command != "POST" or not body) else answer(records, body, paged)
-            data = out.encode()
-            self.send_response(status)
-            self.send_header("Content-Type", "application/json" if status == 200 or paged else "text/plain")
-            self.send_header("Content-Length", str(len(data)))
-            self.end_headers()
-            self.wfile.write(data)
+            with tempfile.TemporaryFile() as out:  # an answer may be larger than memory
+                if paged and (self.command != "POST" or not body):
+                    status = 400
+                    out.write(json.dumps({"error": "send a POST request with a body"}).encode())
+                else:
+                    status = write_answer(records, body, out, paged)
+                self.send_response(status)
+                self.send_header("Content-Type", "application/json" if status == 200 or paged else "text/plain")
+                self.send_header("Content-Length", str(out.tell()))
+                self.end_headers()
+                out.seek(0)
+                shutil.copyfileobj(out, self.wfile)
 
         do_GET = do_POST = do_PUT = _do
 

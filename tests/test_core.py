@@ -420,6 +420,24 @@ def test_server_and_client(people):
         server.shutdown()
 
 
+def test_plain_server_answers_whole(spark):
+    """Beyond 100,000 results too, in the total order; without results as well."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    email = F.concat(F.lit("u"), F.lpad((F.col("id") * 7919 % 100_003).cast("string"), 6, "0"), F.lit("@x.org"))
+    server = made(spark.range(100_003).select(email.alias("email"), F.lit("u").alias("user"), F.lit("x.org").alias("domain"), F.lit('"é').alias("password")), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    client = Client(f"http://127.0.0.1:{server.server_address[1]}/")
+    try:
+        found = client.query(QuerySet(domain="x.org"))
+        assert client.query(QuerySet(domain="y.org")) == {"count": 0, "page": 0, "pages": 1, "results": []}
+    finally:
+        server.shutdown()
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert (found["count"], found["page"], found["pages"]) == (100_003, 0, 1)
+    assert found["results"] == [{"email": f"u{i:06d}@x.org", "password": '"é'} for i in range(100_003)]
+
+
 def test_places_in_files_that_are_split(spark, tmp_path):
     path = str(tmp_path / "sorted")
     rows = spark.range(40000).select((F.col("id") * 7919 % 40009).alias("digest"), F.col("id").alias("offset"))
